@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,26 +147,57 @@ def _cases(word: str) -> set[str]:
     return {word, word.upper(), word.lower(), word.title() if word.isalpha() else word}
 
 
-def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From distinct tokens: garbled forms of the clean ones, and of UTF-8 chains also those with one character lost."""
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - 2**63
+
+
+def _half_keys(text: str) -> list[int]:
+    """Keys of both halves; a text with one character lost still has one of them."""
+    n, h = len(text), len(text) // 2
+    return [_key(f"{n}{side}{part}") for side, part in (("<", text[:h]), (">", text[h:])) if LOST not in part]
+
+
+def _form_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From distinct tokens, keys of all garbled forms of the clean ones; of UTF-8 chains also of their halves."""
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        keys: list[int] = []
+        words: list[int] = []
+        for word, wid in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
             if oddness(word):
                 continue
+            own = set()
             for form in _cases(word):
-                seen = {form}
                 for text, chain in garbled_forms(form):
-                    depth = chain.count(">")
-                    variants = [text]
-                    if chain.startswith("utf-8") and depth < 4:
-                        variants += [text[:i] + LOST + text[i + 1 :] for i, c in enumerate(text) if c > "\x7f"]
-                    for v in variants:
-                        if v not in seen:
-                            seen.add(v)
-                            for col, x in zip(out, (v, form, n, depth)):
-                                col.append(x)
-        yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())], names=["token", "original", "n_original", "depth"])
+                    if text != form:
+                        own.add(_key(text))
+                        if chain.startswith("utf-8") and chain.count(">") < 4:
+                            own.update(_half_keys(text))
+            keys += own
+            words += [wid] * len(own)
+        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(words, pa.int64())], names=["k", "wid"])
+
+
+def _token_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = batch.column(0).to_pylist()
+        keys = [[_key(t), *(_half_keys(t) if LOST in t else ())] for t in tokens]
+        yield pa.record_batch([pa.array([k for ks in keys for k in ks], pa.int64()), pa.array([t for t, ks in zip(tokens, keys) for _ in ks], pa.string())], names=["k", "token"])
+
+
+def _like(garbled: str, token: str) -> bool:
+    return garbled == token or LOST in token and len(garbled) == len(token) and all(x == y or y == LOST for x, y in zip(garbled, token))
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Garble the met word again: the token must be among its forms, but for characters the token has lost."""
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        for token, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            fits = [(chain.count(">"), form) for form in _cases(word) for text, chain in garbled_forms(form) if form != token and _like(text, token)]
+            depth, form = min(fits, default=(None, None))
+            for col, x in zip(out, (form, depth, token)):
+                col.append(x)
+        yield pa.record_batch([pa.array(out[2], pa.string()), pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), batch.column(2)], names=["token", "original", "depth", "n_original"])
 
 
 def _undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +226,15 @@ def restore_values(rows: DataFrame, fields: Iterable[str]) -> DataFrame:
     cuts = Cuts(rows.sparkSession)
     stacked = rows.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("value"))
     values = cuts.write(stacked.filter(F.col("value").rlike(r"[^\x00-\x7f]")).groupBy("value").agg(F.count("*").alias("n")))
-    tokens = cuts.write(token_counts(values))
+    tokens = cuts.write(token_counts(values).withColumn("wid", F.monotonically_increasing_id()))
     undone = spread(tokens).mapInArrow(_undo, "token string, n long, odd int, undone string")
-    forms = spread(tokens).mapInArrow(_table, "token string, original string, n_original long, depth int")
+    # the table of garbled forms travels as pairs of numbers; words come back for those that met a token
+    forms = spread(tokens).mapInArrow(_form_keys, "k long, wid long")
+    met = forms.join(tokens.mapInArrow(_token_keys, "k long, token string"), "k").select("wid", "token").distinct()
+    words = tokens.select("wid", F.col("token").alias("word"), F.col("n").alias("n_original"))
+    verified = met.join(words, "wid").filter("word <> token").select("token", "word", "n_original").mapInArrow(_verify, "token string, original string, depth int, n_original long")
     # best original of each garbled form: the most frequent, then the shortest chain
-    matched = undone.join(forms, "token", "left")
+    matched = undone.join(verified.filter("original IS NOT NULL"), "token", "left")
     trusted = F.col("original").isNotNull() & ((F.col("odd") > 0) | (F.col("n_original") > F.col("n")))
     best = matched.groupBy("token").agg(
         F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("undone").alias("undone"),
