@@ -58,63 +58,78 @@ def prob_minhash(values: np.ndarray, weights: np.ndarray, row: np.ndarray, rows:
     return kept.reshape(rows, registers)
 
 
+def _lists(batch: pa.RecordBatch, v: str, w: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, value, weight) of all elements of a batch; a NULL weight list stands for weights of 1."""
+    vs, ws = batch.column(batch.schema.get_field_index(v)), batch.column(batch.schema.get_field_index(w))
+    counts = np.diff(vs.offsets.to_numpy())
+    row = np.repeat(np.arange(len(batch)), counts)
+    values = vs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    weights = np.ones(len(values))
+    given = np.asarray(ws.is_valid())
+    if given.any():
+        weights[given[row]] = ws.flatten().to_numpy(zero_copy_only=False)
+    return row, values, weights
+
+
 def _band_rows(bands: int, width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a set inside one partition are sketched once
         for batch in batches:
-            keys, sets = batch.column(0), batch.column(1)
-            flat = sets.flatten()
+            fresh = []
+            for k, c in enumerate(batch.column(0).to_pylist()):
+                if c not in seen:
+                    seen.add(c)
+                    fresh.append(k)
+            batch = batch.take(pa.array(fresh, pa.int64()))
             n = len(batch)
-            counts = np.diff(sets.offsets.to_numpy())
-            row = np.repeat(np.arange(n), counts)
-            values = flat.field(0).to_numpy(zero_copy_only=False).view(np.int64).astype(np.uint64)
-            weights = flat.field(1).to_numpy(zero_copy_only=False)
-            sketch = prob_minhash(values, weights, row, n, bands * width, seed).reshape(n, bands, width)
+            row, values, weights = _lists(batch, "v", "w")
+            sketch = prob_minhash(values.view(np.uint64), weights, row, n, bands * width, seed).reshape(n, bands, width)
             with np.errstate(over="ignore"):
                 h = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :], n, axis=0)
                 for k in range(width):
                     h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sketch[:, :, k])
-            yield pa.record_batch([pa.array(h.reshape(-1).view(np.int64)), keys.take(pa.array(np.repeat(np.arange(n), bands)))], names=["band", "cls"])
+            yield pa.record_batch([pa.array(h.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(n), bands)))], names=["band", "cls"])
 
     return run
 
 
-def similar_sets(sets: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold: float, seed: int = SEED) -> DataFrame:
+def similar_sets(sets: DataFrame, facts: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold: float, within: float | None = None, seed: int = SEED) -> DataFrame:
     """Pairs of classes whose weighted Jaccard similarity (sum of minima over sum of maxima) reaches ``threshold``.
 
-    ``sets``: cls (long), items array<struct<v: long, w: double>>, no value twice, weights above 0, one row per
-    class, already written. Candidates share at least one band; every candidate is verified on the whole sets.
-    Result: cls_a < cls_b, similarity. Empty sets are like nothing.
+    ``sets``: cls, v array<long>, w array<double> (NULL: all 1), no value twice in a row, copies of a class allowed. ``facts``: one row per cls
+    with total weight and the range lo..hi of its rows' positions. Candidates share at least one band; those
+    whose totals or positions rule the threshold out are left (no true pair is lost by that), every other is verified on
+    the whole sets. Result: cls_a < cls_b, similarity.
     """
-    full = sets.filter(F.size("items") > 0)
-    keys = spread(full).mapInArrow(_band_rows(bands, rows, seed), "band long, cls long")
+    keys = spread(sets).mapInArrow(_band_rows(bands, rows, seed), "band long, cls long").repartition("band").dropDuplicates(["band", "cls"])
     pairs = keys.alias("a").join(keys.alias("b"), "band").filter("a.cls < b.cls").select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
-    a = full.select(F.col("cls").alias("cls_a"), F.col("items").alias("xa"))
-    b = full.select(F.col("cls").alias("cls_b"), F.col("items").alias("xb"))
-    both = pairs.join(a, "cls_a").join(b, "cls_b")
+    of = lambda s: facts.select(F.col("cls").alias(f"cls_{s}"), F.col("total").alias(f"t{s}"), F.col("lo").alias(f"lo{s}"), F.col("hi").alias(f"hi{s}"))
+    # b first: then both joins on cls_a share one exchange
+    able = pairs.join(of("b"), "cls_b").join(of("a"), "cls_a").filter(F.least("ta", "tb") >= F.greatest("ta", "tb") * (threshold - 1e-9))
+    if within is not None:
+        able = able.filter((F.col("loa") - F.col("hib") <= within) & (F.col("lob") - F.col("hia") <= within))
+    # only equality of values counts from here on: those of 32 bits travel as such
+    narrow = facts.agg(F.coalesce(F.min("least"), F.lit(0)) >= 0, F.coalesce(F.max("most"), F.lit(0)) < 2**32).first()
+    value = F.transform("v", lambda x: (x - 2**31).cast("int")) if all(narrow) else F.col("v")
+    one = sets.select("cls", value.alias("v"), "w").groupBy("cls").agg(F.first(F.struct("v", "w")).alias("s"))
+    side = lambda s: one.select(F.col("cls").alias(f"cls_{s}"), F.col("s.v").alias(f"v{s}"), F.col("s.w").alias(f"w{s}"))
+    both = able.select("cls_a", "cls_b").join(side("a"), "cls_a").join(side("b"), "cls_b")
     return both.mapInArrow(_verify(threshold), "cls_a long, cls_b long, similarity double")
 
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, total = {}, {}
             n = len(batch)
-            parts = []
-            for name in ("xa", "xb"):
-                col = batch.column(batch.schema.get_field_index(name))
-                flat, counts = col.flatten(), np.diff(col.offsets.to_numpy())
-                row = np.repeat(np.arange(n), counts)
-                v = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                w = flat.field(1).to_numpy(zero_copy_only=False)
-                parts.append((row, v, w))
-                total[name] = np.bincount(row, w, n)
+            parts = [_lists(batch, f"v{x}", f"w{x}") for x in "ab"]
+            total = [np.bincount(r, w, n) for r, _, w in parts]
             row = np.concatenate([p[0] for p in parts])
             v, w = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
             order = np.lexsort((v, row))
             row, v, w = row[order], v[order], w[order]
             same = (row[1:] == row[:-1]) & (v[1:] == v[:-1])
             part = np.bincount(row[1:][same], np.minimum(w[1:], w[:-1])[same], n)
-            sim = part / np.maximum(total["xa"] + total["xb"] - part, 1e-300)
+            sim = part / np.maximum(total[0] + total[1] - part, 1e-300)
             keep = sim >= threshold - 1e-12
             cols = [batch.column(batch.schema.get_field_index(c)).filter(pa.array(keep)) for c in ("cls_a", "cls_b")]
             yield pa.record_batch([*cols, pa.array(sim[keep])], names=["cls_a", "cls_b", "similarity"])
@@ -125,7 +140,7 @@ def _verify(threshold: float):
 def near_duplicates(
     records: DataFrame, id_col: str, items: Column, *, position: Column | None = None, within: float | None = None,
     threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, seed: int = SEED,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Group near-duplicate records of weighted sets.
 
     ``items``: array<struct<v: long, w: double>> of each row. Rows with equal sets form one class and are
@@ -133,33 +148,35 @@ def near_duplicates(
     known and differ by at most ``within``.
     NULL sets, NULL ids and empty sets take no part; sets of one value are compared like any other; a repeated id
     is a record of its own each time it stands with another set.
-    Returns (members: id, cls, position; links: cls_a, cls_b, similarity, with cls_a < cls_b).
+    Returns (members: id, cls, position; links: cls_a, cls_b, similarity, with cls_a < cls_b;
+    copies: cls of every class with several rows).
     """
     cuts = Cuts(records.sparkSession)
     place = position if position is not None else F.lit(0.0)
     rows_in = records.select(records[id_col].alias("id"), F.array_sort(items).alias("items"), place.cast("double").alias("position")).filter("id IS NOT NULL AND size(items) > 0")
     if position is not None:
         rows_in = rows_in.filter("position IS NOT NULL AND NOT isnan(position)")
-    # 128 bits of hash name a set; the class number is half of it unless two sets disagree in the other half
+    # a 64-bit hash names a set; a second one shows whether two sets ever share it
     digest = [F.xxhash64("items", F.lit(k)) for k in (seed, seed + 1)]
-    rows_in = rows_in.withColumns({"cls": digest[0], "check": digest[1]})
-    members = cuts.write(rows_in.select("id", "cls", "position"))
-    spanned = rows_in.groupBy("cls").agg(F.min("items").alias("items"), F.min("position").alias("lo"), F.max("position").alias("hi"), F.min("check").alias("c0"), F.max("check").alias("c1"))
-    sets = cuts.write(spanned)
-    if sets.filter("c0 <> c1").limit(1).count():
+    unit = F.forall("items", lambda x: x["w"] == 1.0)
+    table = cuts.write(rows_in.select("id", "position", digest[0].alias("cls"), digest[1].alias("check"), F.col("items.v").alias("v"), F.when(~unit, F.col("items.w")).alias("w")))
+    total = F.when(F.col("w").isNull(), F.size("v").cast("double")).otherwise(F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
+    facts = cuts.write(table.select("cls", "check", "position", total.alias("total"), F.array_min("v").alias("least"), F.array_max("v").alias("most")).groupBy("cls").agg(F.max("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("position").alias("lo"), F.max("position").alias("hi"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.count("*").alias("n")))
+    if facts.filter("c0 <> c1").limit(1).count():
         raise RuntimeError("two different sets share a 64-bit hash: choose another seed")
-    links = similar_sets(sets.select("cls", "items"), bands=bands, rows=rows, threshold=threshold, seed=seed)
-    return members, links
+    links = similar_sets(table.select("cls", "v", "w"), facts, bands=bands, rows=rows, threshold=threshold, within=within if position is not None else None, seed=seed)
+    return table.select("id", "cls", "position"), links, facts.filter("n > 1").select("cls")
 
 
-def expand_pairs(members: DataFrame, links: DataFrame, within: float | None) -> DataFrame:
+def expand_pairs(members: DataFrame, links: DataFrame, copies: DataFrame, within: float | None) -> DataFrame:
     """All pairs of rows of linked classes, and of one class, whose positions differ by at most ``within``.
 
     Positions are cut into cells of that width and each row meets its own cell and the next, so a class
     of any size is joined cell by cell and not as a whole. id_a < id_b.
     """
-    own = members.select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b")).distinct()
-    all_links = links.select("cls_a", "cls_b").unionByName(links.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b"))).unionByName(own)
+    own = copies.select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
+    turned = F.explode(F.array(F.struct("cls_a", "cls_b"), F.struct(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b"))))
+    all_links = links.select(turned.alias("x")).select("x.*").unionByName(own)
     cell = F.floor(F.col("position") / within).cast("long") if within else F.lit(0).cast("long")
     left = members.select(F.col("cls").alias("cls_a"), F.col("id").alias("id_a"), F.col("position").alias("pa"), cell.alias("cell"))
     near = F.explode(F.array(*[cell + k for k in ((-1, 0, 1) if within else (0,))])).alias("cell")
@@ -175,8 +192,8 @@ def found(spark, sf_dir: str) -> DataFrame:
     tracks = spark.read.parquet(f"{sf_dir}/tracks.parquet").select("id", "duration", "fingerprint").filter(F.size("fingerprint") >= 20)
     values = F.array_distinct(F.filter("fingerprint", lambda x: x.isNotNull() & (x != 0)))
     items = F.transform(values, lambda x: F.struct(x.alias("v"), F.lit(1.0).alias("w")))
-    members, links = near_duplicates(tracks, "id", items, position=F.col("duration"), within=5.0, threshold=0.5)
-    return expand_pairs(members, links, 5.0)
+    members, links, copies = near_duplicates(tracks, "id", items, position=F.col("duration"), within=5.0, threshold=0.5)
+    return expand_pairs(members, links, copies, 5.0)
 
 
 SQL = """
