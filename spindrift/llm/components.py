@@ -27,7 +27,7 @@ def _split_hubs(both: DataFrame, hub_links: int) -> DataFrame:
     mine = placed.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), (F.col("u") < F.col("v")).alias("fwd"), "pu")
     links = mine.groupBy("a", "b").agg(F.max(F.when(F.col("fwd"), F.col("pu"))).alias("pa"), F.max(F.when(~F.col("fwd"), F.col("pu"))).alias("pb"))
     inner = links.select(F.struct(F.col("a").alias("id"), F.col("pa").alias("part")).alias("x"), F.struct(F.col("b").alias("id"), F.col("pb").alias("part")).alias("y"))
-    ties = parts.select(F.col("hub").alias("id"), F.explode(F.sequence(F.lit(1), F.col("k"))).cast("long").alias("part")).select(
+    ties = parts.select(F.col("hub").alias("id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("part")).select(
         F.struct("id", F.lit(0).cast("long").alias("part")).alias("x"), F.struct("id", "part").alias("y")
     )
     return inner.unionByName(ties)

@@ -33,6 +33,9 @@ LATIN_IN = "ABEKMHOPCTXYaeopcyxijskmtvëËïÏ"
 CYRILLIC_OUT = "АВЕКМНОРСТХУаеорсухіјѕкмтѵёЁїЇ"
 LATIN_IN_GREEK, GREEK_OUT = "ABEZHIKMNOPTYXaeikvoptuxnwyáíóúÁÉÓÍ", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαεικνορτυχηωγάίόύΆΈΌΊ"
 
+#: Accented Latin letters with doubles elsewhere: they do not decide a word's alphabet.
+ALIKE_ACCENTED = "áíóúÁÉÓÍëËïÏ"
+
 _RUN = r"[\p{L}\p{M}]+"
 _CLASSES = {"Latin": r"\p{Latin}", "Cyrillic": r"\p{Cyrillic}", "Greek": r"\p{Greek}", "Armenian": r"\p{Armenian}"}
 _LATIN_BASIC = r"[A-Za-z\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}]"
@@ -65,7 +68,7 @@ def plain_sql(column: str) -> str:
     greek = f"translate(w, {_quoted(LATIN_IN_GREEK)}, {_quoted(GREEK_OUT)})"
     # the alphabet with letters no other alphabet imitates decides; Latin if all letters have doubles
     own = {
-        "l": _count("w", "[b-df-hj-nq-suvwzBDFGJLNQRSUVWZ\\x{00C0}-\\x{024F}\\x{1E00}-\\x{1EFF}]"),
+        "l": _count(f"translate(w, {_quoted(ALIKE_ACCENTED)}, '')", "[b-df-hj-nq-suvwzBDFGJLNQRSUVWZ\\x{00C0}-\\x{024F}\\x{1E00}-\\x{1EFF}]"),
         "c": _count("w", "[БГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯбвгджзийлнптфцчшщъыьэюяё]"),
         "g": _count("w", "[ΓΔΘΛΞΠΣΦΨΩβγδζηθλμξπρσςφψωάέήίόύώ]"),
     }

@@ -71,7 +71,7 @@ def choose_bundles(options: list[list[tuple]]) -> list[int]:
     for b in range(len(options) - 1, -1, -1):
         best_from[b] = best_from[b + 1] + max((o[-1] for o in options[b]), default=0.0)
     best: tuple[float, list[int]] = (-1.0, [-1] * len(options))
-    width = len(options[0][0]) - 1 if options and options[0] else 0
+    width = max((len(o[0]) - 1 for o in options if o), default=0)
 
     def go(b: int, fixed: list, total: float, picks: list[int]) -> None:
         nonlocal best
