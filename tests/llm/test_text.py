@@ -126,3 +126,22 @@ def test_subjects_of_planted_documents(spark):
     got = {(r.doc_id, r.subject_id) for r in subjects.subjects_of_documents(D, L).collect()}
     assert len(got & truth) / len(truth) > 0.98 and len(got & truth) / len(got) > 0.98
     assert subjects.subjects_of_documents(D, L.limit(0)).count() == 0
+
+
+def test_words_of_documents_of_several_areas_still_link(spark):
+    rng = random.Random(9)
+    rare = lambda a: f"term{a}x{rng.randrange(12)}"
+    docs, labels = [], []
+    for i in range(300):  # one area each, without the hub words
+        a = i % 3 + 1
+        docs.append((i, " ".join(f"We spoke of {rare(a)} and {rare(a)} at length." for _ in range(4))))
+        labels.append((i, a, "x"))
+    for i in range(300, 360):  # two areas each: a hub word falls on both labels and cannot verify in the seeds
+        two = rng.sample([1, 2, 3], 2)
+        docs.append((i, " ".join(f"Then {rare(a)} met hub{a} again." for a in two for _ in range(4))))
+        labels += [(i, a, "x") for a in two]
+    alone = {(1000 + i, i % 3 + 1) for i in range(30)}  # only hub words, no label
+    docs += [(d, f"Mostly plain{d} hub{a} here. Also other{d} hub{a} there.") for d, a in alone]
+    D, L = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, subject_id int, annotator string")
+    got = {(r.doc_id, r.subject_id) for r in subjects.subjects_of_documents(D, L).collect()}
+    assert {g for g in got if g[0] >= 1000} == alone
