@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 from itertools import permutations
+from types import MappingProxyType
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,10 @@ NGRAM = 4
 MASS = 0.94
 #: Least cosine of a candidate, least average similarity of two clusters that merge.
 COSINE, LINK = 0.14, 0.5
+#: A word with at most this share of the names of a like word is a typing error of it (in check_l's albums recurring errors have under 0.03, the rarest like word of its own 0.125).
+ERROR_SHARE = 0.08
+#: Other names, told apart by the first letters of their words, that show a word to be one of its own.
+OTHERS = 3
 #: Components up to this many names are clustered in one task each; larger ones by distributed rounds, with the same result.
 LOCAL_NAMES = 400
 
@@ -115,8 +120,8 @@ def _shortens(a: str, b: str) -> bool:
 _FACTOR = {"nick": 0.95, "short": 0.95, "initial": 0.85}
 
 
-def _pair(a: str, b: str, known: frozenset) -> tuple[float, int] | None:
-    """(factor, edits) of two words that may be writings of one, or None."""
+def _pair(a: str, b: str, known: Mapping[str, int]) -> tuple[float, int] | None:
+    """(factor, edits) of two words that may be writings of one, or None. ``known``: names of each word that is one of its own."""
     x, y = a.rstrip("."), b.rstrip(".")
     if x == y:
         return 1.0, 0
@@ -128,8 +133,8 @@ def _pair(a: str, b: str, known: frozenset) -> tuple[float, int] | None:
         return _FACTOR["nick"], 0
     if _shortens(a, y) or _shortens(b, x):
         return _FACTOR["short"], 0
-    if x in known and y in known:
-        return None  # two words that each stand in many names
+    if x in known and y in known and min(known[x], known[y]) > ERROR_SHARE * max(known[x], known[y]):
+        return None  # two words of their own, neither rare enough against the other to be its typing error
     n = min(len(x), len(y))
     most = 0 if n < 3 else 1 if n < 5 else 2 if n < 8 else 4
     e = edits(x, y, most) if most else 1
@@ -156,7 +161,7 @@ def _joined(mine: Sequence[str], other: Sequence[str]) -> list[str]:
     return out
 
 
-def likeness(a: Sequence[str], b: Sequence[str], known: frozenset = frozenset()) -> float:
+def likeness(a: Sequence[str], b: Sequence[str], known: Mapping[str, int] = MappingProxyType({})) -> float:
     """0 to 1: how surely two token lists name the same entity. Every word but lone initials must find its writing on the other side."""
     ra, rb = _joined(a, b), _joined(b, a)
     strong = 0
@@ -259,7 +264,7 @@ def cosine_pairs(grams: DataFrame, sizes: dict[str, int], *, cosine: float = COS
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         c = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        s = [likeness(ta, tb, frozenset(ka or ()) | frozenset(kb or ())) for ta, tb, ka, kb in zip(c["ta"], c["tb"], c["ka"], c["kb"])]
+        s = [likeness(ta, tb, {k["word"]: k["df"] for k in (ka or []) + (kb or [])}) for ta, tb, ka, kb in zip(c["ta"], c["tb"], c["ka"], c["kb"])]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "s"])
 
 
@@ -319,6 +324,25 @@ def _rounds(spark, cuts: Cuts, edges: DataFrame, least: float) -> DataFrame:
         num = cuts.write(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("num").alias("num")))
 
 
+def _own_words(cuts: Cuts, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(field, node, word) of all words, and (field, word, df) of those that are words of their own and no typing errors.
+
+    A word of its own stands beside at least ``OTHERS`` different sets of first letters (so initials, familiar forms of the
+    same letter and most errors in the other words do not count as other names) and is not rare against a word one
+    typing error away. Both are free of the number of rows: an error that recurs stays rare against its original.
+    """
+    bare = nodes.select("field", "node", F.array_distinct(F.transform("tokens", lambda t: F.rtrim(t, F.lit(".")))).alias("ws"))
+    words = bare.select("field", "node", F.explode("ws").alias("word"), "ws").filter("length(word) > 1")
+    beside = F.array_join(F.sort_array(F.transform(F.filter("ws", lambda t: t != F.col("word")), lambda t: F.substring(t, 1, 1))), "")
+    stands = words.withColumn("beside", beside).groupBy("field", "word").agg(F.count("*").alias("df"), F.countDistinct("beside").alias("others"))
+    often = cuts.write(stands.filter(F.col("others") >= OTHERS).select("field", "word", "df"))
+    less = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word"))))
+    near = often.filter("length(word) >= 3").select("field", "word", "df", F.explode(F.array_union(less, F.array("word"))).alias("part")).distinct()
+    more = near.select("field", "part", F.col("df").alias("most"))
+    errors = near.join(more, ["field", "part"]).filter(F.col("df") <= ERROR_SHARE * F.col("most")).select("field", "word").distinct()
+    return words.select("field", "node", "word"), cuts.write(often.join(errors, ["field", "word"], "left_anti"))
+
+
 def link_spellings(spellings: DataFrame, *, cosine: float = COSINE, link: float = LINK, local_names: int = LOCAL_NAMES, top_n: int | None = None) -> DataFrame:
     """Entity of every spelling: field, name, n, entity (a number that all spellings of one entity share).
 
@@ -333,10 +357,8 @@ def link_spellings(spellings: DataFrame, *, cosine: float = COSINE, link: float
     named = cuts.write(spread(clean).mapInArrow(_nodes, "field string, name string, n long, key string, tokens array<string>"))
     grouped = named.groupBy("field", "key").agg(F.sum("n").cast("double").alias("w"), F.max_by("tokens", F.struct("n", "name")).alias("tokens"), F.count("*").alias("spellings"))
     nodes = cuts.write(grouped.withColumn("node", F.monotonically_increasing_id()))
-    words = nodes.select("field", "node", F.explode(F.array_distinct("tokens")).alias("word"))
-    df = words.groupBy("field", "word").agg(F.count("*").alias("df"))
-    # a word of many names is a word of its own and no typing error of another
-    common = words.join(df.filter("df >= 6"), ["field", "word"]).groupBy("node").agg(F.collect_list("word").alias("known"))
+    words, own = _own_words(cuts, nodes)
+    common = words.join(own, ["field", "word"]).groupBy("node").agg(F.collect_list(F.struct("word", "df")).alias("known"))
     sizes = {r.field: r.n for r in nodes.groupBy("field").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return named.select("field", "name", "n", F.lit(None).cast("long").alias("entity"))

@@ -146,3 +146,15 @@ def test_spellings_are_linked_locally_and_by_rounds(spark):
     assert ["Belkandorfi, Maria", "M. Belkandorfi", "MARIA BELKANDORFI", "Maria Belkandorfi", "Maria Belkandrofi"] in results[0]
     assert ["Oleg Belkandofri", "Oleg Belkandorfi"] in results[0] and ["???"] in results[0]
     assert names.link_spellings(df.limit(0)).count() == 0
+
+
+def test_errors_are_told_from_words_by_share(spark):
+    last = [a + b + "ndelkor" for a in "bdfgklmprt" for b in ("a", "e", "i", "o", "u", "ya", "ye", "yi", "yo", "yu")]
+    rows = [("artist", f"Noemie {x}", 9) for x in last] + [("artist", f"Nozmie {x}", 1) for x in last[::13]]
+    rows += [("album", f"{w} {x}", 3) for x in last[::30] for w in ("Island", "Islands")]
+    got = {(r.field, r.name): r.entity for r in names.link_spellings(spark.createDataFrame(rows, "field string, name string, n bigint")).collect()}
+    for x in last[::13]:  # an error that recurs is still one
+        assert got["artist", f"Noemie {x}"] == got["artist", f"Nozmie {x}"], x
+    for x in last[::30]:  # words of a like number of names are two words, however few the names
+        assert got["album", f"Island {x}"] != got["album", f"Islands {x}"], x
+    assert len({got["artist", f"Noemie {x}"] for x in last}) == len(last)
