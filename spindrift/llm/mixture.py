@@ -87,8 +87,8 @@ def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_T
 
     Every source is cut into shards by a seeded hash and every shard, in seeded order, into blocks of
     ``block_tokens`` tokens (a document belongs to the block where it begins). Sainte-Lague quotas give each
-    source its number of blocks, and each shard of a source its part of them; a quota above the blocks there
-    are takes whole passes first. ``total_tokens`` defaults to the most that all shares and repeat caps permit.
+    source its number of blocks, and each shard of a source its part of them; they are filled with whole blocks by their
+    real tokens, up to half a block (or half a longer document) from the quota; a quota above the tokens there are takes whole passes first. ``total_tokens`` defaults to the most that all shares and repeat caps permit.
     Only one number per shard reaches the driver: a shard holds ``shard_tokens`` tokens, so 100 TB of text give under a million.
 
     NULL and empty texts, sources without a target or of a share or a cap of 0 or NULL are not drawn; target shares are
@@ -114,7 +114,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_T
     placed = counted.withColumns({"o": order, "shard": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.element_at(F.create_map(*pairs), F.col("source")))})
     before = Window.partitionBy("source", "shard").orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     blocks = cuts.write(placed.withColumn("block", F.floor(F.coalesce(F.sum("n_tokens").over(before), F.lit(0)) / block_tokens).cast("long")).drop("o"))
-    there = {(r.source, r.shard): (r.n, r.blocks) for r in blocks.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n"), (F.max("block") + 1).alias("blocks")).collect()}
+    there = {(r.source, r.shard): (r.n, r.blocks) for r in blocks.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n"), F.ceil(F.sum("n_tokens") / block_tokens).alias("blocks")).collect()}
     # by source, then by shard
     wanted = round(total / block_tokens)
     owned = {s: sum(b for (x, _), (_, b) in there.items() if x == s) for s in shares}
@@ -123,13 +123,16 @@ def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_T
     rows = []
     for s in shares:
         by_shard = sainte_lague({k: n for (x, k), (n, _) in there.items() if x == s}, quota[s], {k: b * goals[s][1] for (x, k), (_, b) in there.items() if x == s})
-        rows += [(s, k, there[s, k][1], q) for k, q in by_shard.items()]
-    quotas = documents.sparkSession.createDataFrame(rows, "source string, shard long, blocks long, quota long")
-    # seeded order of the blocks of a shard: a rank over blocks, not over documents
-    drawn = blocks.select("source", "shard", "block").distinct()
-    rank = F.row_number().over(Window.partitionBy("source", "shard").orderBy(F.xxhash64("source", "shard", "block", F.lit(seed + 2)), "block"))
-    drawn = drawn.withColumn("rank", rank).join(quotas, ["source", "shard"])
-    copies = (F.floor(F.col("quota") / F.col("blocks")) + F.when(F.col("rank") <= F.pmod("quota", "blocks"), 1).otherwise(0)).cast("int")
+        for k, q in by_shard.items():
+            passes, rest = divmod(q * block_tokens, there[s, k][0])
+            rows.append((s, k, passes, rest, goals[s][1]))
+    quotas = documents.sparkSession.createDataFrame(rows, "source string, shard long, passes long, rest long, most long")
+    # seeded order of the blocks of a shard; they are taken by their own tokens, as a block in which a long document begins holds more
+    # than block_tokens and leaves the numbers behind it empty
+    drawn = blocks.groupBy("source", "shard", "block").agg(F.sum("n_tokens").alias("t"))
+    upto = F.sum("t").over(Window.partitionBy("source", "shard").orderBy(F.xxhash64("source", "shard", "block", F.lit(seed + 2)), "block").rowsBetween(Window.unboundedPreceding, 0))
+    drawn = drawn.withColumn("upto", upto).join(quotas, ["source", "shard"])
+    copies = F.least("most", F.col("passes") + F.when(F.col("upto") * 2 - F.col("t") <= F.col("rest") * 2, 1).otherwise(0)).cast("int")
     chosen = drawn.select("source", "shard", "block", copies.alias("copies")).filter("copies > 0")
     return blocks.join(chosen, ["source", "shard", "block"]).select("doc_id", "source", "n_tokens", "shard", "block", "copies")
 

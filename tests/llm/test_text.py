@@ -145,3 +145,11 @@ def test_words_of_documents_of_several_areas_still_link(spark):
     D, L = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, subject_id int, annotator string")
     got = {(r.doc_id, r.subject_id) for r in subjects.subjects_of_documents(D, L).collect()}
     assert {g for g in got if g[0] >= 1000} == alone
+
+
+def test_mix_of_documents_longer_than_a_block(spark):
+    docs = [(i, "a", "alpha beta gamma " * 500) for i in range(200)] + [(1000 + i, "b", "alpha beta gamma " * 20) for i in range(3000)]
+    D = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    T = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 1)], "source string, target_share double, max_repeats int")
+    for r in mixture.shares(mixture.mix(D, T, block_tokens=200, shard_tokens=100_000), T).collect():
+        assert abs(r.actual_share - r.target_share) < 0.02 and r.most_copies <= r.max_repeats
