@@ -23,8 +23,6 @@ from ._shared import Cuts, spread
 from .components import connected_components
 
 NGRAM = 4
-#: Share of a vector's squared mass that its heaviest n-grams must hold; the commonest rest is left out of the vector.
-MASS = 0.94
 #: Least cosine of a candidate, least average similarity of two clusters that merge.
 COSINE, LINK = 0.14, 0.5
 #: A word with at most this share of the names of a like word is a typing error of it (in check_l's albums recurring errors have under 0.03, the rarest like word of its own 0.125).
@@ -231,28 +229,32 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([c for cs in codes for c in cs], pa.int64())], names=["field", "node", "gram"])
 
 
-def cosine_pairs(grams: DataFrame, sizes: dict[str, int], *, cosine: float = COSINE, mass: float = MASS, top_n: int | None = None) -> DataFrame:
+def cosine_pairs(grams: DataFrame, sizes: dict[str, int], *, cosine: float = COSINE, top_n: int | None = None) -> DataFrame:
     """All pairs of nodes of one field whose n-gram vectors have at least that cosine: field, a < b, cosine.
 
-    Weights are squared inverse document frequencies, so shared rare n-grams decide; each vector keeps the heaviest
-    n-grams that hold ``mass`` of its squared length. The join runs on n-grams and sums map-side; an n-gram that
-    many names share weighs next to nothing and so is in few vectors. ``top_n`` keeps the best partners of
-    each node only; None, the default, keeps all.
+    Weights are squared inverse document frequencies, so shared rare n-grams decide. The join runs on prefixes: each vector's
+    heaviest n-grams, up to where the rest is shorter than ``cosine``. In one order of all n-grams two vectors that reach
+    ``cosine`` share one of both prefixes, and what they share beyond these is bounded by the lengths behind the last n-gram met,
+    so no such pair is lost. The result holds every pair whose sum and bound reach ``cosine``, so some pairs below it too;
+    the column cosine is the sum over the prefixes. ``top_n`` keeps the best partners of each node only; None, the default, keeps all.
     """
     total = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("field"))
     df = grams.groupBy("field", "gram").agg(F.count("*").alias("df"))
     weighed = grams.join(df.filter("df > 1"), ["field", "gram"]).withColumn("w", F.pow(F.log(1 + total / F.col("df")), 2))
-    # a vector is short (the n-grams of one name), so it is handled as one array
-    vec = weighed.groupBy("field", "node").agg(F.sort_array(F.collect_list(F.struct("w", "gram")), False).alias("v"))
     # n-grams that stand in no other name cannot meet, yet they count for the length: their share comes from all n-grams
     lengths = grams.join(df, ["field", "gram"]).groupBy("field", "node").agg(F.sum(F.pow(F.log(1 + total / F.col("df")), 4)).alias("l2"))
-    sums = F.aggregate("v", F.struct(F.lit(0.0).alias("s"), F.array().cast("array<struct<w:double,gram:bigint>>").alias("o")), lambda acc, x: F.struct((acc["s"] + x["w"] * x["w"]).alias("s"), F.when(acc["s"] < mass * F.col("met"), F.concat(acc["o"], F.array(x))).otherwise(acc["o"]).alias("o")), lambda acc: acc["o"])
-    met = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])
-    kept = vec.withColumn("met", met).join(lengths, ["field", "node"]).select("field", "node", F.sqrt("l2").alias("len"), F.explode(sums).alias("x"))
-    post = kept.select("field", "node", F.col("x.gram").alias("gram"), (F.col("x.w") / F.col("len")).alias("w"))
-    a = post.select("field", "gram", F.col("node").alias("a"), F.col("w").alias("wa"))
-    b = post.select("field", "gram", F.col("node").alias("b"), F.col("w").alias("wb"))
-    out = a.join(b, ["field", "gram"]).filter("a < b").groupBy("field", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.col("cosine") >= cosine)
+    # a vector is short (the n-grams of one name), so it is handled as one array, heaviest n-gram first
+    vec = weighed.groupBy("field", "node").agg(F.sort_array(F.collect_list(F.struct("w", "gram")), False).alias("v")).join(lengths, ["field", "node"])
+    unit = vec.withColumn("v", F.transform("v", lambda x: F.struct((x["w"] / F.sqrt("l2")).alias("w"), x["gram"].alias("gram"))))
+    # each n-gram with the length of what comes behind it; those before whose own length the rest falls below the threshold are the prefix
+    behind = F.transform("v", lambda x, i: F.struct(x["gram"].alias("gram"), x["w"].alias("w"), F.sqrt(F.aggregate(F.slice("v", i + 2, F.size("v")), F.lit(0.0), lambda acc, y: acc + y["w"] * y["w"])).alias("r")))
+    prefix = F.filter("v", lambda x: x["w"] * x["w"] + x["r"] * x["r"] >= (cosine - 1e-9) ** 2)
+    kept = unit.withColumn("v", behind).withColumn("v", prefix).filter("size(v) > 0").withColumn("s", F.element_at("v", -1)["r"])
+    post = kept.select("field", "node", "s", F.explode("v").alias("x")).select("field", "node", F.col("x.gram").alias("gram"), F.col("x.w").alias("w"), F.col("x.r").cast("float").alias("r"), F.col("s").cast("float").alias("s"))
+    side = lambda n: post.select("field", "gram", *[F.col(c).alias(c + n) for c in ("w", "r", "s")], F.col("node").alias(n))
+    rest = F.greatest(F.col("sa") * F.col("rb"), F.col("ra") * F.col("sb"))
+    met = side("a").join(side("b"), ["field", "gram"]).filter("a < b").groupBy("field", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"), F.min(rest).alias("rest"))
+    out = met.filter(F.col("cosine") + F.col("rest") >= cosine - 1e-6).select("field", "a", "b", "cosine")
     if top_n:
         both = out.unionByName(out.select("field", F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
         rank = F.row_number().over(Window.partitionBy("field", "a").orderBy(F.desc("cosine"), "b"))

@@ -158,3 +158,17 @@ def test_errors_are_told_from_words_by_share(spark):
     for x in last[::30]:  # words of a like number of names are two words, however few the names
         assert got["album", f"Island {x}"] != got["album", f"Islands {x}"], x
     assert len({got["artist", f"Noemie {x}"] for x in last}) == len(last)
+
+
+def test_cosine_pairs_lose_no_pair(spark):
+    rng = random.Random(12)
+    # n-gram k stands in about a share of 1 / k of the names, so every vector has a long tail of common ones
+    vecs = [{g for g in range(1, 120) if rng.random() < 1.5 / g} | {200 + rng.randrange(60), 200 + rng.randrange(60)} for _ in range(150)]
+    df = {g: sum(g in v for v in vecs) for v in vecs for g in v}
+    w = {g: np.log(1 + len(vecs) / n) ** 2 for g, n in df.items()}
+    size = [np.sqrt(sum(w[g] ** 2 for g in v)) for v in vecs]
+    cos = {(i, j): sum(w[g] ** 2 for g in vecs[i] & vecs[j]) / size[i] / size[j] for i, j in itertools.combinations(range(len(vecs)), 2)}
+    grams = spark.createDataFrame([("f", i, g) for i, v in enumerate(vecs) for g in v], "field string, node bigint, gram bigint")
+    for least in (0.02, 0.14, 0.5):
+        got = {(r.a, r.b) for r in names.cosine_pairs(grams, {"f": len(vecs)}, cosine=least).collect()}
+        assert {p for p, c in cos.items() if c >= least} <= got
