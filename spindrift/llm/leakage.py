@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ._shared import Cuts, spread
 
 # Masks over consecutive words; "1" is compared, "0" is ignored. Each spans at most 12 words, so a run of 12
-# equal words hits every mask; with one replaced word in any place of a run of 12 at least one mask still hits.
-MASKS = ("110100110101", "111010001011", "10110111", "11011011")
+# equal words hits every mask; with one or two replaced words in any places inside a run of 12 at least one mask still hits.
+MASKS = ("110100110101", "111010001011", "10110111", "11011011", "111001000111")
 SPAN = 12
 #: Test passages with up to this many hashes are sent to the executors (16 bytes each); more are joined by shuffle.
 SENT_HASHES = 2_000_000

@@ -1,5 +1,6 @@
 """Text operators against brute force and exact round trips."""
 
+import itertools
 import random
 import re
 import unicodedata
@@ -78,6 +79,11 @@ def test_masks_tolerate_one_replaced_word():
         assert any(m[k] == "0" if 0 <= (k := at - s) < len(m) else True for m in leakage.MASKS for s in range(12 - len(m) + 1)), at
 
 
+def test_masks_tolerate_two_replaced_words():
+    for pair in itertools.combinations(range(1, 11), 2):  # an overlap begins and ends with equal words
+        assert any(all(m[k] == "0" for at in pair if 0 <= (k := at - s) < len(m)) for m in leakage.MASKS for s in range(12 - len(m) + 1)), pair
+
+
 def test_sainte_lague():
     assert mixture.sainte_lague({"a": 53, "b": 24, "c": 23}, 7) == {"a": 3, "b": 2, "c": 2}
     rng = random.Random(2)
