@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,22 +90,35 @@ def choose_bundles(options: list[list[tuple]]) -> list[int]:
     return best[1]
 
 
-def _choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        rows = []
-        for group, opts in zip(pdf["group_id"], pdf["opts"]):
-            fmt, lossless = [o["fmt"] for o in opts], [o["lossless"] for o in opts]
-            options, source = [], []
-            for b in BUNDLES:
-                order = sorted(range(len(opts)), key=lambda i: opts[i][f"{b}_at"])
-                scale = 1e6 if b == "file" else 1.0
-                # completeness first, then the rank; the file bundle's rank outweighs all the rest
-                trust = [scale * (len(order) - r) if b == "file" else opts[i][f"{b}_known"] + (len(order) - r) / (len(order) + 1) for r, i in enumerate(order)]
-                options.append([(fmt[i], lossless[i], t) for i, t in zip(order, trust)])
-                source.append(order)
-            picks = choose_bundles(options)
-            rows.append((group, *(source[b][i] if i >= 0 else -1 for b, i in enumerate(picks))))
-        yield pd.DataFrame(rows, columns=["group_id", *(f"{b}_pick" for b in BUNDLES)])
+def _picker(names: list[str]):
+    """Batches of (group_id, opts, all) to the chosen bundles' fields, taken from the very lists the choice was made on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picks: list[list[int | None]] = [[] for _ in BUNDLES]
+            begin = 0
+            for opts in batch.column(1).to_pylist():
+                options, source = [], []
+                for b in BUNDLES:
+                    order = sorted(range(len(opts)), key=lambda i: opts[i][f"{b}_at"])
+                    # completeness first, then the rank; the file bundle's rank outweighs all the rest
+                    if b == "file":
+                        trust = [1e6 * (len(order) - r) for r in range(len(order))]
+                    else:
+                        trust = [opts[i][f"{b}_known"] + (len(order) - r) / (len(order) + 1) for r, i in enumerate(order)]
+                    options.append([(opts[i]["fmt"], opts[i]["lossless"], t) for i, t in zip(order, trust)])
+                    source.append(order)
+                for k, i in enumerate(choose_bundles(options)):
+                    picks[k].append(begin + source[k][i] if i >= 0 else None)
+                begin += len(opts)
+            flat = batch.column(2).flatten()
+            out = [batch.column(0)]
+            for (b, fields), at in zip(BUNDLES.items(), picks):
+                chosen = pc.struct_field(flat, b).take(pa.array(at, pa.int64()))
+                out += [pc.struct_field(chosen, f) for f in fields]
+            yield pa.record_batch(out, names=names)
+
+    return run
 
 
 def surviving_records(members: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -128,15 +142,15 @@ def surviving_records(members: DataFrame, tracks: DataFrame) -> DataFrame:
         aggs += [F.min(_order(b)).alias(f"{b}_order"), F.min_by(F.struct(*fields), _order(b)).alias(b), F.min_by(_filled(b), _order(b)).alias(f"{b}_known")]
     few = rows.groupBy("group_id", *AGREE).agg(*aggs)
     packed = few.groupBy("group_id").agg(F.collect_list(F.struct(*AGREE, *(c for b in BUNDLES for c in (f"{b}_order", b, f"{b}_known")))).alias("all"))
-    # ranks instead of sort keys go to Python
-    slim = packed.withColumns({f"{b}_sorted": F.sort_array(F.col(f"all.{b}_order")) for b in BUNDLES}).withColumn(
-        "opts",
-        F.transform("all", lambda x: F.struct(x["fmt"].alias("fmt"), x["lossless"].alias("lossless"), *(c for b in BUNDLES for c in (F.array_position(F.col(f"{b}_sorted"), x[f"{b}_order"]).alias(f"{b}_at"), x[f"{b}_known"].alias(f"{b}_known"))))),
-    )
-    picked = slim.select("group_id", "opts").mapInPandas(_choose, f"group_id {dict(packed.dtypes)['group_id']}, " + ", ".join(f"{b}_pick int" for b in BUNDLES))
-    chosen = packed.join(picked, "group_id")
-    fields = [F.when(F.col(f"{b}_pick") >= 0, F.get("all", F.col(f"{b}_pick"))[b][f]).alias(f) for b, fs in BUNDLES.items() for f in fs]
-    return chosen.select("group_id", *fields)
+    # Python gets ranks instead of sort keys, and the candidates in the same row: the list's order differs between evaluations
+    for b in BUNDLES:
+        packed = packed.withColumn(f"{b}_sorted", F.sort_array(F.col(f"all.{b}_order")))
+    rank = lambda x, b: F.array_position(F.col(f"{b}_sorted"), x[f"{b}_order"]).alias(f"{b}_at")
+    opts = F.transform("all", lambda x: F.struct(*(x[c].alias(c) for c in AGREE), *(c for b in BUNDLES for c in (rank(x, b), x[f"{b}_known"].alias(f"{b}_known")))))
+    slim = packed.select("group_id", opts.alias("opts"), F.transform("all", lambda x: F.struct(*(x[b].alias(b) for b in BUNDLES))).alias("all"))
+    kinds = dict(rows.dtypes)
+    names = ["group_id", *(f for fs in BUNDLES.values() for f in fs)]
+    return slim.mapInArrow(_picker(names), ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def records(spark, sf_dir: str) -> DataFrame:
