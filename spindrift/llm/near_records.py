@@ -14,6 +14,8 @@ from ._shared import Cuts, spread
 #: 32 bands of 2 registers: of pairs alike by 0.5, one in 10,000 shares no band; above that, fewer.
 BANDS, ROWS = 32, 2
 SEED = 0x5EED
+#: A cell is this part of the greatest distance of positions; so many cells make a block, and classes meet within a block.
+REACH, BLOCK = 2, 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,48 +74,52 @@ def _lists(batch: pa.RecordBatch, v: str, w: str) -> tuple[np.ndarray, np.ndarra
 
 
 def _band_rows(bands: int, width: int, seed: int):
+    """Classes to one row per band and place: key, cls, total, cell, beyond."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies of a set inside one partition are sketched once
         for batch in batches:
-            fresh = []
-            for k, c in enumerate(batch.column(0).to_pylist()):
-                if c not in seen:
-                    seen.add(c)
-                    fresh.append(k)
-            batch = batch.take(pa.array(fresh, pa.int64()))
             n = len(batch)
             row, values, weights = _lists(batch, "v", "w")
             sketch = prob_minhash(values.view(np.uint64), weights, row, n, bands * width, seed).reshape(n, bands, width)
+            places = batch.column(batch.schema.get_field_index("cells"))
+            at = np.repeat(np.arange(n), np.diff(places.offsets.to_numpy()))
+            cell = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            block, beyond = cell // BLOCK, np.zeros(len(cell), dtype=bool)
+            # near the end of its block a class also stands in the next one, to meet the classes there
+            last = np.flatnonzero(cell % BLOCK >= BLOCK - REACH)
+            at, cell = np.concatenate([at, at[last]]), np.concatenate([cell, cell[last]])
+            block, beyond = np.concatenate([block, block[last] + 1]), np.concatenate([beyond, np.ones(len(last), dtype=bool)])
             with np.errstate(over="ignore"):
                 h = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :], n, axis=0)
                 for k in range(width):
                     h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sketch[:, :, k])
-            yield pa.record_batch([pa.array(h.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(n), bands)))], names=["band", "cls"])
+                key = _mix(h[at] + _mix(block.view(np.uint64))[:, None])
+            each = lambda c: pa.array(np.repeat(c, bands))
+            col = lambda c: batch.column(batch.schema.get_field_index(c)).take(each(at))
+            yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), col("cls"), col("total"), each(cell.astype(np.int32)), each(beyond)], names=["key", "cls", "total", "cell", "beyond"])
 
     return run
 
 
-def similar_sets(sets: DataFrame, facts: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold: float, within: float | None = None, seed: int = SEED) -> DataFrame:
+def similar_sets(classes: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold: float, seed: int = SEED) -> DataFrame:
     """Pairs of classes whose weighted Jaccard similarity (sum of minima over sum of maxima) reaches ``threshold``.
 
-    ``sets``: cls, v array<long>, w array<double> (NULL: all 1), no value twice in a row, copies of a class allowed. ``facts``: one row per cls
-    with total weight and the range lo..hi of its rows' positions. Candidates share at least one band; those
-    whose totals or positions rule the threshold out are left (no true pair is lost by that), every other is verified on
-    the whole sets. Result: cls_a < cls_b, similarity.
+    ``classes``: one row per cls with v array<long>, w array<double> (NULL: all 1), total weight, and cells, the different
+    cells of its rows' positions; no value twice in a row. Candidates share at least one band in cells at most ``REACH`` apart.
+    The key of a band holds a block of cells, so classes of far positions never meet, and totals and cells are compared inside the
+    join: only pairs that may reach the threshold leave it. A band that very many classes share is one key of a plain join of two
+    exchanges, which adaptive execution splits. Every candidate is verified on the whole sets. Result: cls_a < cls_b, similarity.
     """
-    keys = spread(sets).mapInArrow(_band_rows(bands, rows, seed), "band long, cls long").repartition("band").dropDuplicates(["band", "cls"])
-    pairs = keys.alias("a").join(keys.alias("b"), "band").filter("a.cls < b.cls").select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
-    of = lambda s: facts.select(F.col("cls").alias(f"cls_{s}"), F.col("total").alias(f"t{s}"), F.col("lo").alias(f"lo{s}"), F.col("hi").alias(f"hi{s}"))
-    # b first: then both joins on cls_a share one exchange
-    able = pairs.join(of("b"), "cls_b").join(of("a"), "cls_a").filter(F.least("ta", "tb") >= F.greatest("ta", "tb") * (threshold - 1e-9))
-    if within is not None:
-        able = able.filter((F.col("loa") - F.col("hib") <= within) & (F.col("lob") - F.col("hia") <= within))
-    # only equality of values counts from here on: those of 32 bits travel as such
-    narrow = facts.agg(F.coalesce(F.min("least"), F.lit(0)) >= 0, F.coalesce(F.max("most"), F.lit(0)) < 2**32).first()
-    value = F.transform("v", lambda x: (x - 2**31).cast("int")) if all(narrow) else F.col("v")
-    one = sets.select("cls", value.alias("v"), "w").groupBy("cls").agg(F.first(F.struct("v", "w")).alias("s"))
-    side = lambda s: one.select(F.col("cls").alias(f"cls_{s}"), F.col("s.v").alias(f"v{s}"), F.col("s.w").alias(f"w{s}"))
-    both = able.select("cls_a", "cls_b").join(side("a"), "cls_a").join(side("b"), "cls_b")
+    slots = "key long, cls long, total double, cell int, beyond boolean"
+    keys = spread(classes.select("cls", "v", "w", "total", "cells")).mapInArrow(_band_rows(bands, rows, seed), slots)
+    may = (
+        (F.col("a.cls") < F.col("b.cls")) & ~(F.col("a.beyond") & F.col("b.beyond")) & (F.abs(F.col("a.cell") - F.col("b.cell")) <= REACH)
+        & (F.least("a.total", "b.total") >= F.greatest("a.total", "b.total") * (threshold - 1e-9))
+    )
+    met = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & may)
+    pairs = met.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
+    side = lambda s: classes.select(F.col("cls").alias(f"cls_{s}"), F.col("v").alias(f"v{s}"), F.col("w").alias(f"w{s}"))
+    both = pairs.join(side("a"), "cls_a").join(side("b"), "cls_b")
     return both.mapInArrow(_verify(threshold), "cls_a long, cls_b long, similarity double")
 
 
@@ -138,14 +144,14 @@ def _verify(threshold: float):
 
 
 def near_duplicates(
-    records: DataFrame, id_col: str, items: Column, *, position: Column | None = None, within: float | None = None,
+    records: DataFrame, id_col: str, values: Column, *, weights: Column | None = None, position: Column | None = None, within: float | None = None,
     threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Group near-duplicate records of weighted sets.
 
-    ``items``: array<struct<v: long, w: double>> of each row. Rows with equal sets form one class and are
-    sketched and compared once. With ``position`` and ``within``, records are alike only when their positions are
-    known and differ by at most ``within``.
+    ``values``: array<long> of each row without repeated values; with ``weights`` an array<double> beside it, else each counts 1.
+    Rows with equal sets form one class and are sketched and compared once. With ``position`` and ``within``, records are alike only when
+    their positions are known and differ by at most ``within``.
     NULL sets, NULL ids and empty sets take no part; sets of one value are compared like any other; a repeated id
     is a record of its own each time it stands with another set.
     Returns (members: id, cls, position; links: cls_a, cls_b, similarity, with cls_a < cls_b;
@@ -153,19 +159,29 @@ def near_duplicates(
     """
     cuts = Cuts(records.sparkSession)
     place = position if position is not None else F.lit(0.0)
-    rows_in = records.select(records[id_col].alias("id"), F.array_sort(items).alias("items"), place.cast("double").alias("position")).filter("id IS NOT NULL AND size(items) > 0")
+    rows_in = records.select(records[id_col].alias("id"), (F.sort_array(values) if weights is None else values).alias("v"), (weights if weights is not None else F.lit(None).cast("array<double>")).alias("w"), place.cast("double").alias("position"))
+    rows_in = rows_in.filter("id IS NOT NULL AND size(v) > 0")
+    if weights is not None:
+        # pairs in the order of the values, whatever order they came in; weights of 1 are left out
+        both = F.array_sort(F.arrays_zip("v", "w"))
+        rows_in = rows_in.withColumn("z", both).withColumns({"v": F.col("z.v"), "w": F.when(F.exists("z", lambda x: x["w"] != 1.0), F.col("z.w"))}).drop("z")
     if position is not None:
         rows_in = rows_in.filter("position IS NOT NULL AND NOT isnan(position)")
+    cell = F.floor(F.col("position") / F.lit(within / REACH * (1 + 1e-9))).cast("int") if position is not None and within else F.lit(0)
     # a 64-bit hash names a set; a second one shows whether two sets ever share it
-    digest = [F.xxhash64("items", F.lit(k)) for k in (seed, seed + 1)]
-    unit = F.forall("items", lambda x: x["w"] == 1.0)
-    table = cuts.write(rows_in.select("id", "position", digest[0].alias("cls"), digest[1].alias("check"), F.col("items.v").alias("v"), F.when(~unit, F.col("items.w")).alias("w")))
+    digest = [F.xxhash64("v", "w", F.lit(k)) for k in (seed, seed + 1)]
     total = F.when(F.col("w").isNull(), F.size("v").cast("double")).otherwise(F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
-    facts = cuts.write(table.select("cls", "check", "position", total.alias("total"), F.array_min("v").alias("least"), F.array_max("v").alias("most")).groupBy("cls").agg(F.max("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("position").alias("lo"), F.max("position").alias("hi"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.count("*").alias("n")))
+    named = rows_in.select("id", "position", digest[0].alias("cls"), digest[1].alias("check"), "v", "w", total.alias("total"), cell.alias("cell"))
+    members = cuts.write(named.select("id", "cls", "position", "cell", "check"))
+    # cells are as many as positions are apart, not as rows are many
+    facts = members.groupBy("cls").agg(F.collect_set("cell").alias("cells"), F.count("*").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+    facts = cuts.write(facts)
     if facts.filter("c0 <> c1").limit(1).count():
         raise RuntimeError("two different sets share a 64-bit hash: choose another seed")
-    links = similar_sets(table.select("cls", "v", "w"), facts, bands=bands, rows=rows, threshold=threshold, within=within if position is not None else None, seed=seed)
-    return table.select("id", "cls", "position"), links, facts.filter("n > 1").select("cls")
+    sets = named.select("cls", "v", "w", "total").dropDuplicates(["cls"])
+    classes = cuts.write(sets.join(facts.select("cls", "cells"), "cls"))
+    links = similar_sets(classes, bands=bands, rows=rows, threshold=threshold, seed=seed)
+    return members.select("id", "cls", "position"), links, facts.filter("n > 1").select("cls")
 
 
 def expand_pairs(members: DataFrame, links: DataFrame, copies: DataFrame, within: float | None) -> DataFrame:
@@ -191,8 +207,7 @@ def found(spark, sf_dir: str) -> DataFrame:
     """p5_found: pairs of tracks with at least half of their distinct non-zero fingerprint values in common."""
     tracks = spark.read.parquet(f"{sf_dir}/tracks.parquet").select("id", "duration", "fingerprint").filter(F.size("fingerprint") >= 20)
     values = F.array_distinct(F.filter("fingerprint", lambda x: x.isNotNull() & (x != 0)))
-    items = F.transform(values, lambda x: F.struct(x.alias("v"), F.lit(1.0).alias("w")))
-    members, links, copies = near_duplicates(tracks, "id", items, position=F.col("duration"), within=5.0, threshold=0.5)
+    members, links, copies = near_duplicates(tracks, "id", values, position=F.col("duration"), within=5.0, threshold=0.5)
     return expand_pairs(members, links, copies, 5.0)
 
 

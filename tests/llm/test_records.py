@@ -62,7 +62,7 @@ def test_near_duplicates_against_brute_force(spark):
             rows.append((len(rows), c + c[:3], at + rng.choice([0, 3, 9])))
     rows += [(900, None, 1.0), (901, [], 1.0), (902, [5], None), (903, [7], 2.0), (904, [7], 2.0), (None, [7], 2.0)]
     df = spark.createDataFrame(rows, "id bigint, fp array<bigint>, d double")
-    items = F.transform(F.array_distinct("fp"), lambda x: F.struct(x.alias("v"), F.lit(1.0).alias("w")))
+    items = F.array_distinct("fp")
     got = {tuple(r) for r in near_records.expand_pairs(*near_records.near_duplicates(df, "id", items, position=F.col("d"), within=5.0, threshold=0.5), 5.0).collect()}
     want = set()
     for (i, x, p), (j, y, q) in itertools.combinations([r for r in rows if r[0] is not None and r[1] and r[2] is not None], 2):
@@ -72,9 +72,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_records.expand_pairs(*near_records.near_duplicates(df.limit(0), "id", items, position=F.col("d"), within=5.0, threshold=0.5), 5.0).count() == 0
 
 
+def test_pairs_across_cells_and_blocks(spark):
+    """Sets at positions on both sides of every cell and block end, exactly and just beyond the greatest distance apart."""
+    base = list(range(1, 41))
+    rows = []
+    for k in range(60):
+        at = k * 2.5 + (0.0, 1.25, 2.4999)[k % 3]
+        rows += [(len(rows), base + [1000 + k], at), (len(rows) + 1, base + [2000 + k], at + 5.0), (len(rows) + 2, base + [3000 + k], at - 5.0001)]
+    df = spark.createDataFrame(rows, "id bigint, fp array<bigint>, d double")
+    got = near_records.expand_pairs(*near_records.near_duplicates(df, "id", F.col("fp"), position=F.col("d"), within=5.0, threshold=0.5), 5.0)
+    want = {(i, j) for (i, _, p), (j, _, q) in itertools.combinations(rows, 2) if abs(p - q) <= 5.0}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_weights_count(spark):
     df = spark.createDataFrame([(1, [(1, 5.0), (2, 1.0)]), (2, [(1, 5.0), (3, 1.0)]), (3, [(1, 0.1), (3, 9.0)])], "id bigint, i array<struct<v:bigint,w:double>>")
-    members, links, _ = near_records.near_duplicates(df, "id", F.col("i"), threshold=0.5, bands=64)
+    members, links, _ = near_records.near_duplicates(df, "id", F.col("i.v"), weights=F.col("i.w"), threshold=0.5, bands=64)
     of = {r.cls: r.id for r in members.collect()}
     assert {tuple(sorted((of[r.cls_a], of[r.cls_b]))): round(r.similarity, 3) for r in links.collect()} == {(1, 2): 0.714}
 
