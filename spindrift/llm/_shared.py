@@ -43,6 +43,7 @@ class Cuts:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
         self._count = 0
+        self._live: dict[str, DataFrame] = {}
 
     def write(self, df: DataFrame) -> DataFrame:
         self._count += 1
@@ -50,17 +51,23 @@ class Cuts:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._spindrift_path = path
+        self._live[path] = out
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that nothing reads any more."""
         for t in tables:
             path = getattr(t, "_spindrift_path", None)
-            if path:
+            if path and self._live.pop(path, None) is not None:
                 jvm = self.spark._jvm
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Delete all tables but those ``kept``, which the result is read from."""
+        paths = {getattr(t, "_spindrift_path", None) for t in kept}
+        self.drop(*[t for path, t in list(self._live.items()) if path not in paths])
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Split a scan that came in fewer partitions than there are cores, for a stage of Python work."""

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import lru_cache
-from itertools import permutations
 from types import MappingProxyType
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,38 +21,26 @@ from ._shared import Cuts, spread
 from .components import connected_components
 
 NGRAM = 4
-#: Least cosine of a candidate, least average similarity of two clusters that merge.
-COSINE, LINK = 0.14, 0.5
+#: Least cosine of two names that are linked, least average cosine of two clusters that merge.
+COSINE, LINK = 0.3, 0.2
 #: A word with at most this share of the names of a like word is a typing error of it (in check_l's albums recurring errors have under 0.03, the rarest like word of its own 0.125).
 ERROR_SHARE = 0.08
 #: Other names, told apart by the first letters of their words, that show a word to be one of its own.
 OTHERS = 3
+#: Words that stand for each other do so beside this many different other words, and in this share of the names that hold them.
+ALTERNATES, ALTERNATE_SHARE = 3, 0.05
+#: Typing errors that two spellings may differ by, over all their words.
+MOST_EDITS = 3
 #: Components up to this many names are clustered in one task each; larger ones by distributed rounds, with the same result.
 LOCAL_NAMES = 400
 
-# Words that carry no identity in a name.
-WEAK = frozenset("the th of and y und et feat ft featuring with at in from to for vs tapes".split())
-# Other writings of a word.
-SAME = {"nr": "no", "num": "no", "number": "no", "volume": "vol", "volumes": "vol", "saint": "st", "session": "sessions"}
 # Letters without a canonical decomposition, and their base letters.
 BASE = {"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "þ": "th", "æ": "ae", "œ": "oe", "ð": "d", "ı": "i"}
-# Words that are commonly abbreviated without a full stop.
-SHORTENED = frozenset("orchestra philharmonic symphony chamber choir quartet quintet trio ensemble collective brothers sisters collection sessions band system sound".split())
-# Given names and their familiar forms.
-NICKNAMES = {
-    "alexander": "alex sasha xander sandy", "anais": "ana", "beatriz": "bea betty trixi", "charlotte": "lottie charlie lotte", "dorothea": "dora dorothy thea dori",
-    "edward": "ed eddie ted ned teddy", "ekaterina": "katya katia kate", "elizabeth": "beth liz lizzie betty eliza lisa", "francisco": "paco pancho fran curro", "friedrich": "fritz fred freddy",
-    "giuseppe": "beppe pino peppe", "guillermo": "memo guille willy", "henrietta": "hettie etta harriet henny", "ignacio": "nacho iggy", "johannes": "hans jo johann", "jose": "pepe", "jurgen": "jogi",
-    "katherine": "kate kathy katie kat kitty", "margaret": "maggie meg peggy greta marge", "mariana": "mari", "michael": "mike mick mickey mikey", "nikolai": "kolya niko nick", "noemie": "mimi", "oleg": "olezhka",
-    "patricia": "pat patty trish tricia", "richard": "rick dick rich ricky", "robert": "bob rob bobby robbie bert", "samuel": "sam sammy", "theodore": "theo ted teddy", "tomasz": "tomek tom", "william": "will bill billy willy liam",
-    "james": "jim jimmy jamie", "john": "jack johnny", "thomas": "tom tommy", "charles": "charlie chuck", "joseph": "joe joey", "anthony": "tony", "daniel": "dan danny", "david": "dave", "andrew": "andy drew",
-    "christopher": "chris kit", "matthew": "matt", "nicholas": "nick", "peter": "pete", "stephen": "steve", "antonio": "tono toni", "manuel": "manolo", "rafael": "rafa", "catherine": "cathy kate", "jennifer": "jenny jen", "susan": "sue susie", "lukasz": "lukas", "lucja": "lusia",
-}
-_NICK = {(full, n) for full, ns in NICKNAMES.items() for n in ns.split()}
+# Roman numerals with their numbers, and words before a numeral.
 ROMAN = {r: str(i) for i, r in enumerate("i ii iii iv v vi vii viii ix x xi xii xiii xiv xv".split(), 1)}
-_COUNTED = ("vol", "no", "symphony", "part", "book", "disc")
-_QUOTED = re.compile(r"[“\"„«(]([^\s“”\"„«»()]+)[”\"“»)]")
-_WORD = re.compile(r"[^\W_]+\.?", re.UNICODE)
+COUNTED = frozenset("vol volume volumes no nr num number symphony part book disc".split())
+_QUOTED = re.compile(r"(?<=\S )[“\"„«(][^\s“”\"„«»()]+[”\"“»)](?= \S)")
+_WORD = re.compile(r"[^\W_]+\.?|[&+@]")
 
 
 @lru_cache(maxsize=200_000)
@@ -64,27 +50,24 @@ def base_letters(text: str) -> str:
 
 
 def tokens(name: str) -> list[str]:
-    """Identity-bearing words: lower case without accents; a full stop stays on abbreviations; Roman counts as digits."""
+    """Words in lower case without accents; a full stop stays on abbreviations, Roman numerals after a word that is counted become digits.
+
+    One quoted word inside a name is a familiar form beside the full one and is left out.
+    """
     out: list[str] = []
-    quoted = _QUOTED.search(name)
-    if quoted and any((t, base_letters(quoted[1])) in _NICK for t in base_letters(name).split()):
-        name = name.replace(quoted[0], " ")  # a familiar form beside the full one
-    for m in _WORD.finditer(base_letters(name.replace("’", "").replace("'", ""))):
+    for m in _WORD.finditer(base_letters(_QUOTED.sub(" ", name).replace("’", "").replace("'", ""))):
         t = m.group()
         bare = t.rstrip(".")
-        bare = SAME.get(bare, bare)
-        if bare in WEAK:
-            continue
-        if bare in ROMAN and out and out[-1].rstrip(".") in _COUNTED:
+        if bare in ROMAN and out and out[-1].rstrip(".") in COUNTED:
             t = ROMAN[bare]
-        elif bare in ("vol", "no") or len(bare) == 1 or not t.endswith("."):
+        elif len(bare) == 1:
             t = bare
         out.append(t)
     return out
 
 
 def canonical(name: str) -> str:
-    """Equal for spellings that differ only in case, accents, punctuation, word order and weak words."""
+    """Equal for spellings that differ only in case, accents, punctuation and word order."""
     return " ".join(sorted(t.rstrip(".") for t in tokens(name)))
 
 
@@ -107,39 +90,31 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 def _shortens(a: str, b: str) -> bool:
-    """a abbreviates b: same first letter, its letters in order in b."""
+    """a abbreviates b: a full stop, the same first letter, its letters in order in b."""
     bare = a.rstrip(".")
-    if not 2 <= len(bare) < len(b) or bare[0] != b[0] or not (a.endswith(".") or b in SHORTENED):
+    if not a.endswith(".") or not 2 <= len(bare) < len(b) or bare[0] != b[0]:
         return False
     it = iter(b)
     return all(c in it for c in bare)
 
 
-_FACTOR = {"nick": 0.95, "short": 0.95, "initial": 0.85}
-
-
-def _pair(a: str, b: str, known: Mapping[str, int]) -> tuple[float, int] | None:
-    """(factor, edits) of two words that may be writings of one, or None. ``known``: names of each word that is one of its own."""
+def _cost(a: str, b: str, known: Mapping[str, int]) -> float | None:
+    """Edits between two words that may be writings of one (0.5: an initial or abbreviation), or None. ``known``: names of each word of its own."""
     x, y = a.rstrip("."), b.rstrip(".")
     if x == y:
-        return 1.0, 0
-    if x.isdigit() or y.isdigit():
+        return 0.0
+    if x.isdigit() or y.isdigit() or not (x.isalnum() and y.isalnum()):
         return None
     if len(x) == 1 or len(y) == 1:
-        return (_FACTOR["initial"], 0) if x[0] == y[0] else None
-    if (x, y) in _NICK or (y, x) in _NICK:
-        return _FACTOR["nick"], 0
+        return 0.5 if x[0] == y[0] else None
     if _shortens(a, y) or _shortens(b, x):
-        return _FACTOR["short"], 0
+        return 0.5
     if x in known and y in known and min(known[x], known[y]) > ERROR_SHARE * max(known[x], known[y]):
         return None  # two words of their own, neither rare enough against the other to be its typing error
     n = min(len(x), len(y))
     most = 0 if n < 3 else 1 if n < 5 else 2 if n < 8 else 4
     e = edits(x, y, most) if most else 1
-    return (1.0, e) if e <= most else None
-
-
-_BY_EDITS = (1.0, 0.95, 0.88, 0.55, 0.42)
+    return float(e) if e <= most else None
 
 
 def _joined(mine: Sequence[str], other: Sequence[str]) -> list[str]:
@@ -159,49 +134,32 @@ def _joined(mine: Sequence[str], other: Sequence[str]) -> list[str]:
     return out
 
 
-def likeness(a: Sequence[str], b: Sequence[str], known: Mapping[str, int] = MappingProxyType({})) -> float:
-    """0 to 1: how surely two token lists name the same entity. Every word but lone initials must find its writing on the other side."""
+def difference(a: Sequence[str], b: Sequence[str], known: Mapping[str, int] = MappingProxyType({})) -> tuple[str, str, float, str] | None:
+    """What two spellings do not share: (words of a alone, words of b alone, edits between their matched words, the other words of a).
+
+    Equal words are matched first, then the cheapest pairs that may be writings of one word. Lone initials may stay unmatched.
+    None if numbers differ, which no spelling does.
+    """
     ra, rb = _joined(a, b), _joined(b, a)
-    strong = 0
-    for t in list(ra):
-        if t in rb:
-            ra.remove(t)
-            rb.remove(t)
-            strong = max(strong, len(t) if not t.isdigit() else 0)
-    initials = lambda ts: [t for t in ts if len(t.rstrip(".")) == 1 and t.rstrip(".").isalpha()]
-    if len(ra) > 5 or len(rb) > 5:
-        return 0.0
-    best = 0.0
-    short, long, flip = (ra, rb, False) if len(ra) <= len(rb) else (rb, ra, True)
-    spare = len(long) - len(short)
-    if spare > len(initials(long)) and spare > 0:
-        return 0.0
-    if any(t.isdigit() for t in short) != any(t.isdigit() for t in long):
-        return 0.0
-    # lone initials on both sides may also stay unmatched against each other (other middle initials)
-    for order in permutations(range(len(long)), len(short)):
-        score, total, solid, drop = 1.0, 0, strong, 0
-        for s, l in zip(short, order):
-            got = _pair(s, long[l], known)
-            if got is None:
-                if len(s.rstrip(".")) == 1 and len(long[l].rstrip(".")) == 1 and s.isalpha() and long[l].rstrip(".").isalpha():
-                    score *= 0.7
-                    continue
-                score = 0.0
-                break
-            score *= got[0]
-            total += got[1]
-            if got[0] == 1.0:
-                solid = max(solid, min(len(s), len(long[l])))
-        if not score:
-            continue
-        rest = [long[i] for i in range(len(long)) if i not in order]
-        if any(len(t.rstrip(".")) != 1 or t.isdigit() for t in rest):
-            continue
-        score *= 0.92 ** len(rest)
-        if total < len(_BY_EDITS) and solid >= 3:
-            best = max(best, score * _BY_EDITS[total])
-    return best
+    left: dict[str, list[int]] = {}
+    for j, t in enumerate(rb):
+        left.setdefault(t.rstrip("."), []).append(j)
+    rest_a = [t for t in ra if not (left.get(t.rstrip(".")) and left[t.rstrip(".")].pop() >= 0)]
+    rest_b = [rb[j] for j in sorted(j for js in left.values() for j in js)]
+    numbers = lambda ts: sorted(t.rstrip(".") for t in ts if t.rstrip(".").isdigit())
+    if numbers(rest_a) != numbers(rest_b):
+        return None
+    costs = sorted((c, i, j) for i, x in enumerate(rest_a) for j, y in enumerate(rest_b) if (c := _cost(x, y, known)) is not None)
+    on_a, on_b, total = set(), set(), 0.0
+    for c, i, j in costs:
+        if i not in on_a and j not in on_b:
+            on_a.add(i)
+            on_b.add(j)
+            total += c
+    alone = lambda ts, on: sorted(w for i, t in enumerate(ts) if i not in on and (len(w := t.rstrip(".")) > 1 or not w.isalnum()))
+    la, lb = alone(rest_a, on_a), alone(rest_b, on_b)
+    shared = sorted(w for t in a if len(w := t.rstrip(".")) > 1 and w not in la)
+    return " ".join(la), " ".join(lb), total, " ".join(shared)
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +167,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = batch.column(1).to_pylist()
         toks = [tokens(n) for n in names]
         keys = [" ".join(sorted(t.rstrip(".") for t in ts)) or n for ts, n in zip(toks, names)]
-        yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(keys, pa.string()), pa.array(toks, pa.list_(pa.string()))], names=["field", "name", "n", "key", "tokens"])
+        cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(keys, pa.string()), pa.array(toks, pa.list_(pa.string()))]
+        yield pa.record_batch(cols, names=["field", "name", "n", "key", "tokens"])
 
 
 def ngram_codes(toks: Sequence[str]) -> list[int]:
@@ -224,50 +183,121 @@ def ngram_codes(toks: Sequence[str]) -> list[int]:
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes = [ngram_codes(t) for t in batch.column(2).to_pylist()]
-        counts = np.array([len(c) for c in codes])
+        counts = np.array([len(c) for c in codes], dtype=np.int64)
         rows = pa.array(np.repeat(np.arange(len(codes)), counts))
-        yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([c for cs in codes for c in cs], pa.int64())], names=["field", "node", "gram"])
+        cols = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([c for cs in codes for c in cs], pa.int64())]
+        yield pa.record_batch(cols, names=["field", "node", "gram"])
 
 
-def cosine_pairs(grams: DataFrame, sizes: dict[str, int], *, cosine: float = COSINE, top_n: int | None = None) -> DataFrame:
-    """All pairs of nodes of one field whose n-gram vectors have at least that cosine: field, a < b, cosine.
+def weighted_vectors(grams: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """field, node, v: the n-grams of each node that other nodes have too, heaviest first, as structs (w, gram) of a vector of length 1.
 
-    Weights are squared inverse document frequencies, so shared rare n-grams decide. The join runs on prefixes: each vector's
-    heaviest n-grams, up to where the rest is shorter than ``cosine``. In one order of all n-grams two vectors that reach
-    ``cosine`` share one of both prefixes, and what they share beyond these is bounded by the lengths behind the last n-gram met,
-    so no such pair is lost. The result holds every pair whose sum and bound reach ``cosine``, so some pairs below it too;
-    the column cosine is the sum over the prefixes. ``top_n`` keeps the best partners of each node only; None, the default, keeps all.
+    The weight is the inverse document frequency ln(1 + nodes / df); n-grams of one node only count for the length.
     """
     total = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("field"))
     df = grams.groupBy("field", "gram").agg(F.count("*").alias("df"))
-    weighed = grams.join(df.filter("df > 1"), ["field", "gram"]).withColumn("w", F.pow(F.log(1 + total / F.col("df")), 2))
-    # n-grams that stand in no other name cannot meet, yet they count for the length: their share comes from all n-grams
-    lengths = grams.join(df, ["field", "gram"]).groupBy("field", "node").agg(F.sum(F.pow(F.log(1 + total / F.col("df")), 4)).alias("l2"))
-    # a vector is short (the n-grams of one name), so it is handled as one array, heaviest n-gram first
-    vec = weighed.groupBy("field", "node").agg(F.sort_array(F.collect_list(F.struct("w", "gram")), False).alias("v")).join(lengths, ["field", "node"])
-    unit = vec.withColumn("v", F.transform("v", lambda x: F.struct((x["w"] / F.sqrt("l2")).alias("w"), x["gram"].alias("gram"))))
-    # each n-gram with the length of what comes behind it; those before whose own length the rest falls below the threshold are the prefix
+    weighed = grams.join(df, ["field", "gram"]).withColumn("w", F.log(1 + total / F.col("df")))
+    # a vector is short (the n-grams of one name), so it is handled as one array
+    entry = F.when(F.col("df") > 1, F.struct("w", "gram"))
+    vec = weighed.groupBy("field", "node").agg(F.sort_array(F.collect_list(entry), False).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return vec.select("field", "node", F.transform("v", lambda x: F.struct((x["w"] / F.col("length")).alias("w"), x["gram"].alias("gram"))).alias("v"))
+
+
+def _may_reach(vectors: DataFrame, cosine: float) -> DataFrame:
+    """field, a, b (a < b): all pairs of nodes whose cosine reaches ``cosine``, and few others.
+
+    The join runs on prefixes: each vector's heaviest n-grams, up to where the rest is shorter than ``cosine``. In one order of all
+    n-grams two vectors that reach ``cosine`` share one of both prefixes, and what they share beyond these is bounded by the lengths
+    behind the last n-gram met, so no pair is lost.
+    """
     behind = F.transform("v", lambda x, i: F.struct(x["gram"].alias("gram"), x["w"].alias("w"), F.sqrt(F.aggregate(F.slice("v", i + 2, F.size("v")), F.lit(0.0), lambda acc, y: acc + y["w"] * y["w"])).alias("r")))
     prefix = F.filter("v", lambda x: x["w"] * x["w"] + x["r"] * x["r"] >= (cosine - 1e-9) ** 2)
-    kept = unit.withColumn("v", behind).withColumn("v", prefix).filter("size(v) > 0").withColumn("s", F.element_at("v", -1)["r"])
-    post = kept.select("field", "node", "s", F.explode("v").alias("x")).select("field", "node", F.col("x.gram").alias("gram"), F.col("x.w").alias("w"), F.col("x.r").cast("float").alias("r"), F.col("s").cast("float").alias("s"))
+    kept = vectors.withColumn("v", behind).withColumn("v", prefix).filter("size(v) > 0").withColumn("s", F.element_at("v", -1)["r"])
+    post = kept.select("field", "node", F.col("s").cast("float").alias("s"), F.explode("v").alias("x"))
+    post = post.select("field", "node", "s", F.col("x.gram").alias("gram"), F.col("x.w").cast("float").alias("w"), F.col("x.r").cast("float").alias("r"))
     side = lambda n: post.select("field", "gram", *[F.col(c).alias(c + n) for c in ("w", "r", "s")], F.col("node").alias(n))
     rest = F.greatest(F.col("sa") * F.col("rb"), F.col("ra") * F.col("sb"))
-    met = side("a").join(side("b"), ["field", "gram"]).filter("a < b").groupBy("field", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"), F.min(rest).alias("rest"))
-    out = met.filter(F.col("cosine") + F.col("rest") >= cosine - 1e-6).select("field", "a", "b", "cosine")
+    met = side("a").join(side("b"), ["field", "gram"]).filter("a < b")
+    met = met.groupBy("field", "a", "b").agg(F.sum(F.col("wa").cast("double") * F.col("wb")).alias("part"), F.min(rest).alias("rest"))
+    return met.filter(F.col("part") + F.col("rest") >= cosine - 1e-5).select("field", "a", "b")
+
+
+def _cosines(batch: pa.RecordBatch) -> np.ndarray:
+    """Exact cosines of the vectors va and vb of each row."""
+    n, rows, grams, weights = len(batch), [], [], []
+    for c in ("va", "vb"):
+        lists = batch.column(batch.schema.get_field_index(c))
+        flat = lists.flatten()
+        rows.append(np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())))
+        grams.append(flat.field("gram").to_numpy(zero_copy_only=False))
+        weights.append(flat.field("w").to_numpy(zero_copy_only=False))
+    row, gram, w = np.concatenate(rows), np.concatenate(grams), np.concatenate(weights)
+    order = np.lexsort((gram, row))
+    row, gram, w = row[order], gram[order], w[order]
+    same = (row[1:] == row[:-1]) & (gram[1:] == gram[:-1])
+    return np.bincount(row[1:][same], (w[1:] * w[:-1])[same], n)
+
+
+def _exact(cosine: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cos = _cosines(batch)
+            at = pa.array(np.flatnonzero(cos >= cosine - 1e-9))
+            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(x)).take(at) for x in ("field", "a", "b")), pa.array(cos).take(at)], names=["field", "a", "b", "cosine"])
+
+    return run
+
+
+def cosine_pairs(vectors: DataFrame, *, cosine: float = COSINE, top_n: int | None = None) -> DataFrame:
+    """All pairs of nodes of one field whose vectors (as ``weighted_vectors`` gives them) reach that cosine: field, a < b, cosine.
+
+    ``top_n`` keeps the pairs that are among the best of at least one of their nodes.
+    """
+    side = lambda s: vectors.select(F.col("node").alias(s), F.col("v").alias(f"v{s}"))
+    met = _may_reach(vectors, cosine).join(side("a"), "a").join(side("b"), "b").select("field", "a", "b", "va", "vb")
+    out = met.mapInArrow(_exact(cosine), "field string, a long, b long, cosine double")
     if top_n:
-        both = out.unionByName(out.select("field", F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-        rank = F.row_number().over(Window.partitionBy("field", "a").orderBy(F.desc("cosine"), "b"))
-        best = both.withColumn("r", rank).filter(F.col("r") <= top_n)
-        out = best.select("field", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").distinct()
+        out = out.join(_best(out.select("a", "b", F.col("cosine").alias("s")), top_n).select("a", "b"), ["a", "b"]).select("field", "a", "b", "cosine")
     return out
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        c = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        s = [likeness(ta, tb, {k["word"]: k["df"] for k in (ka or []) + (kb or [])}) for ta, tb, ka, kb in zip(c["ta"], c["tb"], c["ka"], c["kb"])]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "s"])
+def _compare(cosine: float) -> Callable:
+    """Pairs that reach ``cosine``, with what their words do not share; pairs of different numbers are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cos = _cosines(batch)
+            keep = np.flatnonzero(cos >= cosine - 1e-9)
+            part = batch.take(pa.array(keep))
+            c = {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names) if n not in ("va", "vb")}
+            known = [{k["word"]: k["df"] for k in (x or []) + (y or [])} for x, y in zip(c["ka"], c["kb"])]
+            got = [difference(x, y, k) for x, y, k in zip(c["ta"], c["tb"], known)]
+            on = [i for i, d in enumerate(got) if d is not None]
+            at = pa.array(on, pa.int64())
+            cols = [part.column(part.schema.get_field_index(x)).take(at) for x in ("field", "a", "b")]
+            cols += [pa.array(cos[keep][on]), *(pa.array([got[i][k] for i in on], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.string())))]
+            yield pa.record_batch(cols, names=["field", "a", "b", "cosine", "alone_a", "alone_b", "edits", "shared"])
+
+    return run
+
+
+def alternates(diffs: DataFrame, words: DataFrame) -> DataFrame:
+    """field, x, y: words that stand for each other (familiar forms, abbreviations, "&" and "and", words that may be left out), both ways.
+
+    Learned from all pairs that differ in nothing else: ``x`` gives way to ``y`` beside at least ``ALTERNATES`` different other words, and in at
+    least ``ALTERNATE_SHARE`` of the names that hold ``x``. Given names of relatives change too, but any one for any other and so rarely.
+    Two words within typing errors of each other are never learned: ``_cost`` tells errors from words by their shares.
+    """
+    one = diffs.filter("edits <= 1 AND alone_a <> alone_b")
+    ways = F.explode(F.array(F.struct(F.col("alone_a").alias("x"), F.col("alone_b").alias("y")), F.struct(F.col("alone_b").alias("x"), F.col("alone_a").alias("y"))))
+    counted = one.select("field", "shared", ways.alias("z")).select("field", "shared", "z.*").filter("x <> ''").groupBy("field", "x", "y").agg(F.countDistinct("shared").alias("n"))
+    shorter = F.least(F.length("x"), F.length("y"))
+    slips = F.when(shorter < 3, 0).when(shorter < 5, 1).when(shorter < 8, 2).otherwise(4)
+    counted = counted.filter((F.col("n") >= ALTERNATES) & (F.contains(F.concat("x", "y"), F.lit(" ")) | (F.col("y") == "") | (F.levenshtein("x", "y") > slips)))
+    df = words.groupBy("field", "word").agg(F.count("*").alias("df"))
+    rarest = counted.select("field", "x", "y", F.explode(F.split("x", " ")).alias("word")).join(df, ["field", "word"]).groupBy("field", "x", "y").agg(F.min("df").alias("df"))
+    good = counted.join(rarest, ["field", "x", "y"]).filter(F.col("n") >= ALTERNATE_SHARE * F.col("df")).select("field", "x", "y")
+    return good.unionByName(good.select("field", F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
 
 
 def average_linkage(ids: Sequence[int], weights: dict[int, float], links: dict[tuple[int, int], float], least: float = LINK) -> dict[int, int]:
@@ -297,11 +327,14 @@ def average_linkage(ids: Sequence[int], weights: dict[int, float], links: dict[t
     return {m: min(ms) for ms in members.values() for m in ms}
 
 
-def _local(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    links = {(int(a), int(b)): float(s) for a, b, s in zip(pdf.a, pdf.b, pdf.s)}
-    w = dict(zip(pdf.a.astype(int), pdf.wa)) | dict(zip(pdf.b.astype(int), pdf.wb))
-    got = average_linkage(sorted(w), w, links)
-    return pd.DataFrame({"node": list(got), "cluster": list(got.values())})
+def _local(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        links = {(int(a), int(b)): float(s) for a, b, s in zip(pdf.a, pdf.b, pdf.s)}
+        w = dict(zip(pdf.a.astype(int), pdf.wa)) | dict(zip(pdf.b.astype(int), pdf.wb))
+        got = average_linkage(sorted(w), w, links, least)
+        return pd.DataFrame({"node": list(got), "cluster": list(got.values())})
+
+    return run
 
 
 def _rounds(spark, cuts: Cuts, edges: DataFrame, least: float) -> DataFrame:
@@ -334,7 +367,7 @@ def _own_words(cuts: Cuts, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     typing error away. Both are free of the number of rows: an error that recurs stays rare against its original.
     """
     bare = nodes.select("field", "node", F.array_distinct(F.transform("tokens", lambda t: F.rtrim(t, F.lit(".")))).alias("ws"))
-    words = bare.select("field", "node", F.explode("ws").alias("word"), "ws").filter("length(word) > 1")
+    words = bare.select("field", "node", F.explode("ws").alias("word"), "ws").filter("length(word) > 1 OR word IN ('&', '+', '@')")
     beside = F.array_join(F.sort_array(F.transform(F.filter("ws", lambda t: t != F.col("word")), lambda t: F.substring(t, 1, 1))), "")
     stands = words.withColumn("beside", beside).groupBy("field", "word").agg(F.count("*").alias("df"), F.countDistinct("beside").alias("others"))
     often = cuts.write(stands.filter(F.col("others") >= OTHERS).select("field", "word", "df"))
@@ -349,37 +382,60 @@ def link_spellings(spellings: DataFrame, *, cosine: float = COSINE, link: float
     """Entity of every spelling: field, name, n, entity (a number that all spellings of one entity share).
 
     ``spellings``: field, name, n (rows that hold the name). NULL and '' are no names; repeated rows add up. Spellings
-    equal but for case, accents, punctuation, word order and weak words are one node. Nodes meet by the cosine of their
-    n-gram vectors; each met pair is read word by word (typing errors, initials, familiar forms, abbreviations;
-    numbers must agree); average linkage, weighted by rows, groups them. A name without letters or digits is an entity of its own.
+    equal but for case, accents, punctuation and word order are one node. Nodes are joined by the cosine of their weighted n-gram
+    vectors; a pair that reaches ``cosine`` is a link unless a veto on its words holds: different numbers, more than ``MOST_EDITS`` typing
+    errors, or words that stand on one side only and are no known alternates. Average linkage of the cosines, weighted by rows and 0
+    where there is no link, groups the nodes. ``top_n`` keeps each node's best partners only; None, the default, keeps every link, as an
+    entity may have any number of spellings. A name without letters or digits is an entity of its own. Nodes are numbered by a hash of
+    their text, by which ties are broken, so the result does not depend on the partitioning.
     """
     spark = spellings.sparkSession
     cuts = Cuts(spark)
     clean = spellings.filter("name IS NOT NULL AND name <> ''").groupBy("field", "name").agg(F.sum("n").cast("long").alias("n"))
     named = cuts.write(spread(clean).mapInArrow(_nodes, "field string, name string, n long, key string, tokens array<string>"))
-    grouped = named.groupBy("field", "key").agg(F.sum("n").cast("double").alias("w"), F.max_by("tokens", F.struct("n", "name")).alias("tokens"), F.count("*").alias("spellings"))
-    nodes = cuts.write(grouped.withColumn("node", F.monotonically_increasing_id()))
-    words, own = _own_words(cuts, nodes)
-    common = words.join(own, ["field", "word"]).groupBy("node").agg(F.collect_list(F.struct("word", "df")).alias("known"))
+    grouped = named.groupBy("field", "key").agg(F.sum("n").cast("double").alias("w"), F.max_by("tokens", F.struct("n", "name")).alias("tokens"))
+    nodes = cuts.write(grouped.withColumn("node", F.xxhash64("field", "key")))
     sizes = {r.field: r.n for r in nodes.groupBy("field").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return named.select("field", "name", "n", F.lit(None).cast("long").alias("entity"))
-    grams = cuts.write(nodes.select("field", "node", "tokens").mapInArrow(_grams, "field string, node long, gram long"))
-    pairs = cosine_pairs(grams, sizes, cosine=cosine, top_n=top_n)
-    facts = cuts.write(nodes.join(common, "node", "left").select("node", "tokens", "known", "w"))
-    side = lambda s: facts.select(F.col("node").alias(s), F.col("tokens").alias(f"t{s}"), F.col("known").alias(f"k{s}"))
-    scored = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb", "ka", "kb").mapInArrow(_score, "a long, b long, s double").filter("s > 0")
-    weigh = lambda s: facts.select(F.col("node").alias(s), F.col("w").alias(f"w{s}"))
-    edges = cuts.write(scored.join(weigh("a"), "a").join(weigh("b"), "b").select("a", "b", "s", "wa", "wb"))
+    if nodes.groupBy("node").count().filter("count > 1").limit(1).count():
+        raise RuntimeError("two names share a 64-bit hash")
+    words, own = _own_words(cuts, nodes)
+    common = words.join(own, ["field", "word"]).groupBy("node").agg(F.collect_list(F.struct("word", "df")).alias("known"))
+    grams = cuts.write(spread(nodes.select("field", "node", "tokens")).mapInArrow(_grams, "field string, node long, gram long"))
+    vectors = cuts.write(weighted_vectors(grams, sizes))
+    facts = cuts.write(nodes.select("node", "tokens").join(common, "node", "left").join(vectors.select("node", "v"), "node"))
+    side = lambda s: facts.select(F.col("node").alias(s), *[F.col(c).alias(c[0] + s) for c in ("tokens", "known", "v")])
+    met = _may_reach(vectors, cosine).join(side("a"), "a").join(side("b"), "b")
+    met = met.select("field", "a", "b", "ta", "tb", "ka", "kb", "va", "vb")
+    diffs = cuts.write(met.mapInArrow(_compare(cosine), "field string, a long, b long, cosine double, alone_a string, alone_b string, edits double, shared string"))
+    stand_in = cuts.write(alternates(diffs, words))
+    near = diffs.filter(F.col("edits") <= MOST_EDITS).join(stand_in.select("field", F.col("x").alias("alone_a"), F.col("y").alias("alone_b"), F.lit(True).alias("known")), ["field", "alone_a", "alone_b"], "left")
+    links = near.filter("known OR alone_a = alone_b").select("a", "b", F.col("cosine").alias("s"))
+    if top_n:
+        links = _best(links, top_n)
+    weigh = lambda s: nodes.select(F.col("node").alias(s), F.col("w").alias(f"w{s}"))
+    edges = cuts.write(links.join(weigh("a"), "a").join(weigh("b"), "b").select("a", "b", "s", "wa", "wb"))
     label = cuts.write(connected_components(edges, "a", "b"))
     small = label.groupBy("label").agg(F.count("*").alias("names"))
-    placed = edges.join(label.select(F.col("node").alias("a"), "label"), "a").join(small, "label")
-    local = placed.filter(F.col("names") <= local_names).groupBy("label").applyInPandas(_local, "node long, cluster long")
+    placed = cuts.write(edges.join(label.select(F.col("node").alias("a"), "label"), "a").join(small, "label"))
+    tasks = spark.sparkContext.defaultParallelism
+    local = placed.filter(F.col("names") <= local_names).repartition(tasks, "label").groupBy("label").applyInPandas(_local(link), "node long, cluster long")
     clusters = local
-    if small.filter(F.col("names") > local_names).limit(1).count():
-        clusters = local.unionByName(_rounds(spark, cuts, cuts.write(placed.filter(F.col("names") > local_names).select("a", "b", "s", "wa", "wb")), link))
+    if placed.filter(F.col("names") > local_names).limit(1).count():
+        clusters = local.unionByName(_rounds(spark, cuts, placed.filter(F.col("names") > local_names).select("a", "b", "s", "wa", "wb"), link))
     entity = nodes.join(clusters, "node", "left").select("field", "key", F.coalesce("cluster", "node").alias("entity"))
-    return cuts.write(named.join(entity, ["field", "key"]).select("field", "name", "n", "entity"))
+    out = cuts.write(named.join(entity, ["field", "key"]).select("field", "name", "n", "entity"))
+    cuts.drop_others(out)
+    return out
+
+
+def _best(links: DataFrame, n: int) -> DataFrame:
+    """Links that are among the ``n`` best of at least one of their ends."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
+    best = both.withColumn("r", rank).filter(F.col("r") <= n)
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").distinct()
 
 
 FIELDS = ("artist", "album")
