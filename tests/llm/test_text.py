@@ -67,10 +67,21 @@ def test_leakage_against_brute_force(spark):
         w = _words(t)
         runs = {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
         want |= {(d, i) for i, p in items if (q := _words(p)) and any(tuple(q[k : k + 12]) in runs for k in range(len(q) - 11))}
-    for sent in (leakage.SENT_HASHES, 0):
-        got = leakage.leaked_passages(D, I, sent_hashes=sent).filter("exact_words >= 12")
+    for exact in (None, 12):
+        got = leakage.leaked_passages(D, I, exact=exact).filter("exact_words >= 12")
         assert {(r.doc_id, r.item_id) for r in got.collect()} == want
     assert want
+    # every stretch of 12 words or more with up to two replaced ones, equal at both ends
+    loose = set()
+    for d, t in docs:
+        for i, p in items:
+            w, q = _words(t)[:200], _words(p)
+            for s in range(-len(q), len(w)):
+                same = [k for k in range(max(0, s), min(len(w), len(q) + s)) if w[k] == q[k - s]]
+                if any(b - a >= 11 and b - a - (y - x) <= 2 for x, a in enumerate(same) for y, b in enumerate(same) if b > a):
+                    loose.add((d, i))
+    got = leakage.leaked_passages(D, I).filter("overlap_words >= 12")
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == loose and loose > want
     assert leakage.leaked_passages(D.limit(0), I).count() == 0
 
 
