@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -172,12 +172,12 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ngram_codes(toks: Sequence[str]) -> list[int]:
-    """Codes of the n-grams inside each word, the word's ends marked; the order of the words does not count."""
+    """31-bit codes of the n-grams inside each word, the word's ends marked; the order of the words does not count."""
     grams = set()
     for t in toks:
         p = f"#{t.rstrip('.')}#"
         grams.update(p[i : i + NGRAM] for i in range(max(1, len(p) - NGRAM + 1)))
-    return [xxhash.xxh64_intdigest(g) & 0x7FFFFFFFFFFFFFFF for g in sorted(grams)]
+    return sorted({xxhash.xxh32_intdigest(g) >> 1 for g in grams})
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,12 +185,12 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = [ngram_codes(t) for t in batch.column(2).to_pylist()]
         counts = np.array([len(c) for c in codes], dtype=np.int64)
         rows = pa.array(np.repeat(np.arange(len(codes)), counts))
-        cols = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([c for cs in codes for c in cs], pa.int64())]
+        cols = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([c for cs in codes for c in cs], pa.int32())]
         yield pa.record_batch(cols, names=["field", "node", "gram"])
 
 
 def weighted_vectors(grams: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """field, node, v: the n-grams of each node that other nodes have too, heaviest first, as structs (w, gram) of a vector of length 1.
+    """field, node, grams array<int>, ws array<float>: the n-grams of each node that other nodes have too, as a vector of length 1, heaviest first.
 
     The weight is the inverse document frequency ln(1 + nodes / df); n-grams of one node only count for the length.
     """
@@ -200,85 +200,47 @@ def weighted_vectors(grams: DataFrame, sizes: dict[str, int]) -> DataFrame:
     # a vector is short (the n-grams of one name), so it is handled as one array
     entry = F.when(F.col("df") > 1, F.struct("w", "gram"))
     vec = weighed.groupBy("field", "node").agg(F.sort_array(F.collect_list(entry), False).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return vec.select("field", "node", F.transform("v", lambda x: F.struct((x["w"] / F.col("length")).alias("w"), x["gram"].alias("gram"))).alias("v"))
-
-
-def _may_reach(vectors: DataFrame, cosine: float) -> DataFrame:
-    """field, a, b (a < b): all pairs of nodes whose cosine reaches ``cosine``, and few others.
-
-    The join runs on prefixes: each vector's heaviest n-grams, up to where the rest is shorter than ``cosine``. In one order of all
-    n-grams two vectors that reach ``cosine`` share one of both prefixes, and what they share beyond these is bounded by the lengths
-    behind the last n-gram met, so no pair is lost.
-    """
-    behind = F.transform("v", lambda x, i: F.struct(x["gram"].alias("gram"), x["w"].alias("w"), F.sqrt(F.aggregate(F.slice("v", i + 2, F.size("v")), F.lit(0.0), lambda acc, y: acc + y["w"] * y["w"])).alias("r")))
-    prefix = F.filter("v", lambda x: x["w"] * x["w"] + x["r"] * x["r"] >= (cosine - 1e-9) ** 2)
-    kept = vectors.withColumn("v", behind).withColumn("v", prefix).filter("size(v) > 0").withColumn("s", F.element_at("v", -1)["r"])
-    post = kept.select("field", "node", F.col("s").cast("float").alias("s"), F.explode("v").alias("x"))
-    post = post.select("field", "node", "s", F.col("x.gram").alias("gram"), F.col("x.w").cast("float").alias("w"), F.col("x.r").cast("float").alias("r"))
-    side = lambda n: post.select("field", "gram", *[F.col(c).alias(c + n) for c in ("w", "r", "s")], F.col("node").alias(n))
-    rest = F.greatest(F.col("sa") * F.col("rb"), F.col("ra") * F.col("sb"))
-    met = side("a").join(side("b"), ["field", "gram"]).filter("a < b")
-    met = met.groupBy("field", "a", "b").agg(F.sum(F.col("wa").cast("double") * F.col("wb")).alias("part"), F.min(rest).alias("rest"))
-    return met.filter(F.col("part") + F.col("rest") >= cosine - 1e-5).select("field", "a", "b")
-
-
-def _cosines(batch: pa.RecordBatch) -> np.ndarray:
-    """Exact cosines of the vectors va and vb of each row."""
-    n, rows, grams, weights = len(batch), [], [], []
-    for c in ("va", "vb"):
-        lists = batch.column(batch.schema.get_field_index(c))
-        flat = lists.flatten()
-        rows.append(np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())))
-        grams.append(flat.field("gram").to_numpy(zero_copy_only=False))
-        weights.append(flat.field("w").to_numpy(zero_copy_only=False))
-    row, gram, w = np.concatenate(rows), np.concatenate(grams), np.concatenate(weights)
-    order = np.lexsort((gram, row))
-    row, gram, w = row[order], gram[order], w[order]
-    same = (row[1:] == row[:-1]) & (gram[1:] == gram[:-1])
-    return np.bincount(row[1:][same], (w[1:] * w[:-1])[same], n)
-
-
-def _exact(cosine: float) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cos = _cosines(batch)
-            at = pa.array(np.flatnonzero(cos >= cosine - 1e-9))
-            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(x)).take(at) for x in ("field", "a", "b")), pa.array(cos).take(at)], names=["field", "a", "b", "cosine"])
-
-    return run
+    return vec.select("field", "node", F.col("v.gram").cast("array<int>").alias("grams"), F.transform("v", lambda x: (x["w"] / F.col("length")).cast("float")).alias("ws"))
 
 
 def cosine_pairs(vectors: DataFrame, *, cosine: float = COSINE, top_n: int | None = None) -> DataFrame:
     """All pairs of nodes of one field whose vectors (as ``weighted_vectors`` gives them) reach that cosine: field, a < b, cosine.
 
-    ``top_n`` keeps the pairs that are among the best of at least one of their nodes.
+    Each vector stands under its heaviest n-grams, up to where the rest is shorter than ``cosine``. In one order of all n-grams the product
+    of two vectors is at most that of their lengths from the first common n-gram on; so a pair that reaches ``cosine`` has that n-gram
+    among both heads. It is taken up there, once, and only if the bound holds, and its exact product is computed on the spot: what is
+    shuffled are the vectors under their n-grams, never the meetings. A frequent n-gram is one key of a plain join of two exchanges,
+    which adaptive execution splits. ``top_n`` keeps the pairs that are among the best of at least one of their nodes.
     """
-    side = lambda s: vectors.select(F.col("node").alias(s), F.col("v").alias(f"v{s}"))
-    met = _may_reach(vectors, cosine).join(side("a"), "a").join(side("b"), "b").select("field", "a", "b", "va", "vb")
-    out = met.mapInArrow(_exact(cosine), "field string, a long, b long, cosine double")
+    lengths = F.transform("ws", lambda x, i: F.sqrt(F.aggregate(F.slice("ws", i + 1, F.size("ws")), F.lit(0.0), lambda acc, y: acc + y * y)).cast("float"))
+    heads = vectors.withColumn("ls", lengths).select("field", "node", "grams", "ws", F.posexplode("ls").alias("at", "l")).filter(F.col("l") >= cosine - 1e-6)
+    post = heads.select("field", F.get("grams", F.col("at")).alias("gram"), "node", "at", "l", "grams", "ws")
+    p, q = post.alias("p"), post.alias("q")
+    before = lambda s: F.slice(F.col(f"{s}.grams"), F.lit(1), F.col(f"{s}.at"))
+    on = (
+        (F.col("p.field") == F.col("q.field")) & (F.col("p.gram") == F.col("q.gram")) & (F.col("p.node") < F.col("q.node"))
+        & (F.col("p.l") * F.col("q.l") >= cosine - 1e-5) & ~F.arrays_overlap(before("p"), before("q"))
+    )
+    of_q = lambda g: F.get(F.col("q.ws"), F.array_position(F.col("q.grams"), g).cast("int") - 1)
+    product = F.aggregate(F.arrays_zip(F.col("p.grams").alias("g"), F.col("p.ws").alias("w")), F.lit(0.0), lambda acc, x: acc + F.coalesce(x["w"].cast("double") * of_q(x["g"]), F.lit(0.0)))
+    # a generator, so that the product is no part of the join's condition and is computed once
+    enough = F.explode(F.filter(F.array(product), lambda c: c >= cosine - 1e-7)).alias("cosine")
+    out = p.join(q, on).select(F.col("p.field").alias("field"), F.col("p.node").alias("a"), F.col("q.node").alias("b"), enough)
     if top_n:
         out = out.join(_best(out.select("a", "b", F.col("cosine").alias("s")), top_n).select("a", "b"), ["a", "b"]).select("field", "a", "b", "cosine")
     return out
 
 
-def _compare(cosine: float) -> Callable:
-    """Pairs that reach ``cosine``, with what their words do not share; pairs of different numbers are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cos = _cosines(batch)
-            keep = np.flatnonzero(cos >= cosine - 1e-9)
-            part = batch.take(pa.array(keep))
-            c = {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names) if n not in ("va", "vb")}
-            known = [{k["word"]: k["df"] for k in (x or []) + (y or [])} for x, y in zip(c["ka"], c["kb"])]
-            got = [difference(x, y, k) for x, y, k in zip(c["ta"], c["tb"], known)]
-            on = [i for i, d in enumerate(got) if d is not None]
-            at = pa.array(on, pa.int64())
-            cols = [part.column(part.schema.get_field_index(x)).take(at) for x in ("field", "a", "b")]
-            cols += [pa.array(cos[keep][on]), *(pa.array([got[i][k] for i in on], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.string())))]
-            yield pa.record_batch(cols, names=["field", "a", "b", "cosine", "alone_a", "alone_b", "edits", "shared"])
-
-    return run
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the words of each pair do not share; pairs of different numbers are left out."""
+    for batch in batches:
+        c = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n in ("ta", "tb", "ka", "kb")}
+        known = [{k["word"]: k["df"] for k in (x or []) + (y or [])} for x, y in zip(c["ka"], c["kb"])]
+        got = [difference(x, y, k) for x, y, k in zip(c["ta"], c["tb"], known)]
+        on = [i for i, d in enumerate(got) if d is not None]
+        kept = [batch.column(batch.schema.get_field_index(x)).take(pa.array(on, pa.int64())) for x in ("field", "a", "b", "cosine")]
+        kept += [pa.array([got[i][k] for i in on], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.string()))]
+        yield pa.record_batch(kept, names=["field", "a", "b", "cosine", "alone_a", "alone_b", "edits", "shared"])
 
 
 def alternates(diffs: DataFrame, words: DataFrame) -> DataFrame:
@@ -402,13 +364,12 @@ def link_spellings(spellings: DataFrame, *, cosine: float = COSINE, link: float
         raise RuntimeError("two names share a 64-bit hash")
     words, own = _own_words(cuts, nodes)
     common = words.join(own, ["field", "word"]).groupBy("node").agg(F.collect_list(F.struct("word", "df")).alias("known"))
-    grams = cuts.write(spread(nodes.select("field", "node", "tokens")).mapInArrow(_grams, "field string, node long, gram long"))
+    grams = cuts.write(spread(nodes.select("field", "node", "tokens")).mapInArrow(_grams, "field string, node long, gram int"))
     vectors = cuts.write(weighted_vectors(grams, sizes))
-    facts = cuts.write(nodes.select("node", "tokens").join(common, "node", "left").join(vectors.select("node", "v"), "node"))
-    side = lambda s: facts.select(F.col("node").alias(s), *[F.col(c).alias(c[0] + s) for c in ("tokens", "known", "v")])
-    met = _may_reach(vectors, cosine).join(side("a"), "a").join(side("b"), "b")
-    met = met.select("field", "a", "b", "ta", "tb", "ka", "kb", "va", "vb")
-    diffs = cuts.write(met.mapInArrow(_compare(cosine), "field string, a long, b long, cosine double, alone_a string, alone_b string, edits double, shared string"))
+    facts = cuts.write(nodes.select("node", "tokens").join(common, "node", "left"))
+    side = lambda s: facts.select(F.col("node").alias(s), *[F.col(c).alias(c[0] + s) for c in ("tokens", "known")])
+    met = cuts.write(cosine_pairs(vectors, cosine=cosine)).join(side("a"), "a").join(side("b"), "b").select("field", "a", "b", "cosine", "ta", "tb", "ka", "kb")
+    diffs = cuts.write(met.mapInArrow(_compare, "field string, a long, b long, cosine double, alone_a string, alone_b string, edits double, shared string"))
     stand_in = cuts.write(alternates(diffs, words))
     near = diffs.filter(F.col("edits") <= MOST_EDITS).join(stand_in.select("field", F.col("x").alias("alone_a"), F.col("y").alias("alone_b"), F.lit(True).alias("known")), ["field", "alone_a", "alone_b"], "left")
     links = near.filter("known OR alone_a = alone_b").select("a", "b", F.col("cosine").alias("s"))
