@@ -6,8 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,38 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(want, *keys) if df.rdd.getNumPartitions() < want else df
 
 
+def word_codes(words: Sequence[str]) -> np.ndarray:
+    """A 64-bit code of each word; every different word is hashed once."""
+    if not words:
+        return np.empty(0, np.uint64)
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    each = np.fromiter((xxhash.xxh64_intdigest(t) for t in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    return each[coded.indices.to_numpy()]
+
+
+def bit_table(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Table of 2 ** bits bits in which each 64-bit hash sets the one of its leading bits.
+
+    At most 2 ** (bits - 6) rows reach the driver, whatever the number of hashes; with very many the table fills up and thins less.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 AS int))")
+    at = F.shiftright(F.shiftrightunsigned(column, 64 - bits), 6)
+    rows = hashes.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("set")).toArrow()
+    table = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    table[rows.column("at").to_numpy()] = rows.column("set").to_numpy().view(np.uint64)
+    return table
+
+
+def has_bit(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    slot = hashes >> np.uint64(64 - bits)
+    return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def known_bits(hashes: DataFrame, column: str, bits: int):
+    """The bit table as a broadcast variable."""
+    return hashes.sparkSession.sparkContext.broadcast(bit_table(hashes, column, bits))
+
+
 def known(c: str | Column) -> Column:
     """NULL for the empty string, which means unknown."""
     c = F.col(c) if isinstance(c, str) else c

@@ -8,11 +8,10 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Cuts, spread
+from ._shared import Cuts, has_bit, known_bits, spread, word_codes
 
 # Masks over consecutive words; "1" is compared, "0" is ignored. Each spans at most 12 words, so a run of 12
 # equal words hits every mask; with one or two replaced words in any places inside a run of 12 at least one mask still hits.
@@ -32,15 +31,6 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
 
 
-def word_codes(tokens: Sequence[str]) -> np.ndarray:
-    """A 64-bit code of each word; every different word is hashed once."""
-    if not tokens:
-        return np.empty(0, np.uint64)
-    coded = pa.array(tokens, pa.string()).dictionary_encode()
-    each = np.fromiter((xxhash.xxh64_intdigest(t) for t in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
-    return each[coded.indices.to_numpy()]
-
-
 def seed_hashes(codes: np.ndarray, mask: str, number: int) -> np.ndarray:
     """Hash of the mask's compared words at every start."""
     n = len(codes) - len(mask) + 1
@@ -79,8 +69,7 @@ def _text_seeds(masks: Sequence[str], bits: Callable[[], np.ndarray] | None, nam
                     h = seed_hashes(codes, mask, k)
                     on = row[: len(h)] == row[len(mask) - 1 :][: len(h)]  # not across the end of a text
                     if table is not None:
-                        slot = h >> np.uint64(64 - FILTER_BITS)
-                        on &= (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                        on &= has_bit(table, h, FILTER_BITS)
                     at = np.flatnonzero(on)
                     cols = [pa.array(h[at].view(np.int64)), pa.array(ids[row[at]]), pa.array((at - starts[row[at]]).astype(np.int32))]
                     yield pa.record_batch(cols, names=list(names))
@@ -94,16 +83,6 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["item_id", "codes"])
 
 
-def _filter_table(seeds: DataFrame) -> np.ndarray:
-    """The bit table of the passages' hashes: at most 2 ** (FILTER_BITS - 6) rows reach the driver, whatever the number of hashes."""
-    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 AS int))")
-    rows = seeds.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("set")).toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-    table[rows.column("at").to_numpy()] = rows.column("set").to_numpy().view(np.uint64)
-    return table
-
-
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int, substitutions: int) -> tuple[int, int, int, int]:
     """On the diagonal doc[i] ~ item[i - shift]: (longest run of equal words, longest stretch with at most so many
     replaced words and equal words at both ends, replaced words in it, its start in the document)."""
@@ -164,12 +143,11 @@ def leaked_passages(
     overlap_words, replaced_words, doc_at (longest stretch with at most ``substitutions`` replaced words: its words, how many
     of them are replaced, and the number of the document's word where it begins). With ``exact``, rows of shorter runs are left out.
     """
-    spark = documents.sparkSession
-    cuts = Cuts(spark)
+    cuts = Cuts(documents.sparkSession)
     docs = documents.select("doc_id", F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     tests = items.select("item_id", F.col(passage).alias("passage")).filter("item_id IS NOT NULL AND passage IS NOT NULL")
     seeds = cuts.write(tests.mapInArrow(_text_seeds(masks, None, ("h", "item_id", "item_at")), "h long, item_id long, item_at int"))
-    sent = spark.sparkContext.broadcast(_filter_table(seeds))
+    sent = known_bits(seeds, "h", FILTER_BITS)
     hits = spread(docs).mapInArrow(_text_seeds(masks, lambda: sent.value, ("h", "doc_id", "doc_at")), "h long, doc_id long, doc_at int")
     met = hits.join(seeds, "h").groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("n"))
     if exact:
