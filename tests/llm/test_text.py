@@ -143,6 +143,9 @@ def test_subjects_of_planted_documents(spark):
     got = {(r.doc_id, r.subject_id) for r in subjects.subjects_of_documents(D, L).collect()}
     assert len(got & truth) / len(truth) > 0.98 and len(got & truth) / len(got) > 0.98
     assert subjects.subjects_of_documents(D, L.limit(0)).count() == 0
+    key = lambda r: (r.doc_id, r.at, r.subject_id, round(r.score, 9))
+    sent, joined = (sorted(map(key, subjects.label_sentences(D, L, sent_links=n).collect())) for n in (subjects.SENT_LINKS, 0))
+    assert sent == joined
 
 
 def test_words_of_documents_of_several_areas_still_link(spark):
