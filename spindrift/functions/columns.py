@@ -47,6 +47,27 @@ def size_text(size: str | Column) -> Column:
     return F.when(b < 1048576, F.format_string("%.1f KB", b / 1024.0)).otherwise(F.format_string("%.1f MB", b / 1048576.0))
 
 
+def total_text(size: str | Column) -> Column:
+    """A sum of sizes: B, KB, MB, GB or TB, whichever is the largest that leaves at least 1, with two decimals from GB on."""
+    b = F.coalesce(_c(size), F.lit(0)).cast("double")
+    steps = [(1 << 40, "%.2f TB"), (1 << 30, "%.2f GB"), (1 << 20, "%.1f MB"), (1 << 10, "%.1f KB")]
+    out = F.format_string("%.0f B", b)
+    for least, text in reversed(steps):
+        out = F.when(b >= least, F.format_string(text, b / float(least))).otherwise(out)
+    return out
+
+
+def specs_text() -> Column:
+    """Sample rate in kHz, bit depth and channels, of what is known."""
+    hz = F.when(F.col("samplerate") > 0, F.format_string("%.1f kHz", F.col("samplerate") / 1000.0))
+    return F.array_join(F.array_compact(F.array(hz, F.when(F.col("bit_depth") > 0, F.format_string("%d bit", "bit_depth")), F.when(F.col("channels") > 0, F.format_string("%d ch", "channels")))), " / ")
+
+
+def plain_path(path: str | Column) -> Column:
+    """Slashes of one kind, none doubled and none at the end."""
+    return F.regexp_replace(F.regexp_replace(F.translate(_c(path), "\\", "/"), "/+", "/"), "(?<=.)/$", "")
+
+
 def eta_text(seconds: str | Column) -> Column:
     s = _c(seconds).cast("long")
     return F.when(s < 60, F.format_string("~%ds", s)).when(s < 3600, F.format_string("~%dm", F.floor(s / 60))).otherwise(F.format_string("~%dh %dm", F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60)))

@@ -40,6 +40,17 @@ def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     return cache.join(fresh.select("filepath"), "filepath", "left_anti").unionByName(fresh.select(*cache.columns))
 
 
+def fitted(rows: DataFrame, schema) -> DataFrame:
+    """Rows in the table's columns: those they lack are NULL, mtime comes from ``modified``, and last_scanned is now where it is not known."""
+    have = set(rows.columns)
+    if "mtime" not in have and "modified" in have:
+        rows = rows.withColumns({"mtime": F.col("modified").cast("double"), "mtime_ns": (F.unix_micros("modified") * 1000)})
+        have |= {"mtime", "mtime_ns"}
+    cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    out = rows.select(*cols)
+    return out.withColumn("last_scanned", F.coalesce("last_scanned", F.current_timestamp().cast(out.schema["last_scanned"].dataType)))
+
+
 def remove(cache: DataFrame, keys: DataFrame) -> DataFrame:
     return cache.join(keys.select("filepath").distinct(), "filepath", "left_anti")
 
@@ -51,6 +62,27 @@ def write_version(df: DataFrame, root: str, version: int, files: int | None = No
     return path
 
 
+def cleared(cache: DataFrame) -> DataFrame:
+    """The empty next version."""
+    return cache.limit(0)
+
+
+def stored_size(spark, path: str) -> int:
+    """Bytes of a written version, from the listing."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def progress(found: str = "found", scanned: str = "scanned", seconds: str = "seconds") -> list[Column]:
+    """progress_percent (0 to 100), files_per_second and eta_seconds of a scan; 0 where nothing can be said."""
+    f, s, t = (F.coalesce(F.col(c), F.lit(0)).cast("double") for c in (found, scanned, seconds))
+    speed = F.when((t > 0) & (s > 0), s / t).when((t > 0) & (f > 0), f / t).otherwise(0.0)
+    return [
+        F.when(f > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), s / f * 100.0))).otherwise(0.0).alias("progress_percent"), speed.alias("files_per_second"),
+        F.when((speed > 0) & (f > s) & (s > 0), (f - s) / speed).otherwise(0.0).alias("eta_seconds"),
+    ]
+
+
 def scan_counters(status: DataFrame) -> DataFrame:
     """status: one row per file with 'hit', 'done' or 'failed'."""
     s = F.col("status")

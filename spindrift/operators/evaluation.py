@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import replace_file
 from ..schema import DUPLICATE_TYPES
 
 EXACT_OR_ACOUSTIC = ("EXACT_HASH", "EXACT_AUDIO", "ACOUSTIC_DUPLICATE")
@@ -60,10 +63,43 @@ def pair_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     return n.withColumns({"recall": _share(F.col("true_positives"), F.col("true_positives") + F.col("missed")), "precision": _share(F.col("true_positives"), F.col("true_positives") + F.col("extra"))})
 
 
+def accuracy(pairs: DataFrame) -> DataFrame:
+    """One row: labelled pairs, those with a prediction, right and wrong ones, and the share that is right (0 for none)."""
+    e, p = F.col("expected"), F.col("predicted")
+    n = pairs.agg(F.count("*").alias("pairs"), F.count_if(e.isNotNull() & p.isNotNull()).alias("evaluated"), F.count_if(e == p).alias("right"), F.count_if(e != p).alias("errors"))
+    return n.withColumn("accuracy", _share(F.col("right"), F.col("evaluated")))
+
+
+def label_distribution(pairs: DataFrame, label: str = "expected") -> DataFrame:
+    return pairs.groupBy(F.coalesce(label, F.lit("")).alias("label")).agg(F.count("*").alias("pairs"))
+
+
+def pair_sets(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """a, b, part: 'both', 'extra' (found only) and 'missed' (true only) pairs, each once."""
+    f, t = found.select("a", "b"), truth.select("a", "b")
+    mark = lambda df, part: df.withColumn("part", F.lit(part))
+    return mark(f.intersect(t), "both").unionByName(mark(f.subtract(t), "extra")).unionByName(mark(t.subtract(f), "missed"))
+
+
+def write_report(spark, pairs: DataFrame, path: str) -> None:
+    """The evaluation as one JSON document of a few rows, and the scores of all pairs beside it as CSV with two decimals."""
+    one = lambda df: df.first().asDict()
+    doc = one(accuracy(pairs)) | one(macro(class_metrics(pairs))) | {"classes": {r["class"]: {k: v for k, v in r.asDict().items() if k != "class"} for r in class_metrics(pairs).collect()}}
+    replace_file(f"{path}.json", lambda f: json.dump(doc, f, indent=2))
+    scores = pairs.select("a", "b", "expected", "predicted", F.format_string("%.2f", F.coalesce("confidence", F.lit(0.0)).cast("double")).alias("confidence"))
+    scores.write.mode("overwrite").option("header", True).csv(f"{path}_scores")
+
+
+def same_folder_pairs(files: DataFrame) -> DataFrame:
+    """All pairs of files of one folder: parent, track_a_path < track_b_path. A report of the pairs themselves; for samples of large folders use ``folder_pairs``."""
+    a, b = files.select("parent", F.col("filepath").alias("track_a_path")), files.select("parent", F.col("filepath").alias("track_b_path"))
+    return a.join(b, "parent").filter("track_a_path < track_b_path")
+
+
 def folder_pairs(files: DataFrame, per_folder: int = 5, seed: int = 42) -> DataFrame:
-    """Up to ``per_folder`` pairs of files of one folder, drawn by a seeded hash: each file meets its successors in hash order only, never the whole folder."""
+    """Up to ``per_folder`` pairs of files of one folder, drawn by a seeded hash: each file meets its successor in hash order only, never the whole folder."""
     from pyspark.sql.window import Window
 
-    order = Window.partitionBy("parent").orderBy(F.xxhash64("filepath", F.lit(seed)), "filepath")
+    order = Window.partitionBy("parent").orderBy(F.md5(F.concat(F.lit(f"{seed}/"), "filepath")), "filepath")
     nxt = files.select("parent", "filepath", F.lead("filepath").over(order).alias("other"), F.row_number().over(order).alias("n"))
     return nxt.filter(F.col("other").isNotNull() & (F.col("n") <= per_folder)).select("parent", F.least("filepath", "other").alias("track_a_path"), F.greatest("filepath", "other").alias("track_b_path"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import display_title, filename, holds
+
 SEVERITY = ("EXACT_HASH", "EXACT_AUDIO", "ACOUSTIC_DUPLICATE", "POSSIBLE_DUPLICATE", "LOW_CONFIDENCE_REVIEW")
 REVIEWED = ("POSSIBLE_DUPLICATE", "LOW_CONFIDENCE_REVIEW")
 
@@ -90,10 +92,18 @@ def groups(edges: DataFrame, tracks: DataFrame, a: str = "id_a", b: str = "id_b"
 
 
 def numbered(groups: DataFrame, members: DataFrame) -> DataFrame:
-    """group_id 'group_001'... in the order of each group's first path. For reports: the order is global, so it runs over groups only."""
+    """group_id 'group_001'... in the order of each group's first path.
+
+    The order is global but no task sees all groups: they are range-partitioned by first path, counted per partition, and numbered inside each
+    from where the partitions before it end. Only one count per partition is summed up.
+    """
+    ensure_checkpoints(groups.sparkSession)
     first = members.groupBy("label").agg(F.min("filepath").alias("first_path"))
-    ranked = groups.join(first, "label").withColumn("n", F.row_number().over(Window.orderBy("first_path")))
-    return ranked.withColumn("group_id", F.format_string("group_%03d", "n")).drop("n", "first_path")
+    placed = groups.join(first, "label").repartitionByRange("first_path", "label").withColumn("part", F.spark_partition_id()).checkpoint()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = placed.groupBy("part").agg(F.count("*").alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    n = F.row_number().over(Window.partitionBy("part").orderBy("first_path", "label")) + F.col("before")
+    return placed.join(offset, "part").withColumn("group_id", F.format_string("group_%03d", n)).drop("part", "before", "first_path")
 
 
 def prune(groups: DataFrame, members: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -138,6 +148,39 @@ def summary(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("total_groups"), F.count_if(t.isin("EXACT_HASH", "EXACT_AUDIO")).alias("exact_groups"), F.count_if(t == "ACOUSTIC_DUPLICATE").alias("acoustic_groups"), F.count_if(t == "POSSIBLE_DUPLICATE").alias("possible_groups"), F.coalesce(F.sum("space_saving_bytes"), F.lit(0)).cast("bigint").alias("total_saving"))
 
 
+def best_after_removal(groups: DataFrame, members: DataFrame, removed: DataFrame) -> DataFrame:
+    """Groups after files have gone: group_id, best_track_path, best_changed, members left. A best track that went gives way to the first remaining member by path."""
+    left = members.filter("group_id IS NOT NULL AND filepath IS NOT NULL").select("group_id", "filepath").distinct().join(removed.select("filepath").distinct(), "filepath", "left_anti")
+    there = left.join(groups.select("group_id", "best_track_path"), "group_id").groupBy("group_id").agg(
+        F.count("*").alias("members"), F.min("filepath").alias("next"), F.max("best_track_path").alias("was"), F.bool_or(F.coalesce(F.col("filepath") == F.col("best_track_path"), F.lit(False))).alias("kept")
+    )
+    return there.select("group_id", F.when(F.col("kept"), F.col("was")).otherwise(F.col("next")).alias("best_track_path"), (~F.col("kept")).alias("best_changed"), "members")
+
+
+def search(groups: DataFrame, members: DataFrame, tracks: DataFrame, text: str) -> DataFrame:
+    """Groups of which any member's name, title, artist, album or format holds the text."""
+    hit = holds(text, filename("filepath"), F.col("title"), F.col("artist"), F.col("album"), F.col("format"))
+    found = members.select("group_id", "filepath").join(tracks.filter(hit).select("filepath"), "filepath", "left_semi")
+    return groups.join(found.select("group_id").distinct(), "group_id", "left_semi") if text.strip() else groups
+
+
+def ordered(groups: DataFrame, members: DataFrame, tracks: DataFrame, mode: str) -> DataFrame:
+    """Groups in one of four orders: saving, similarity, size (high to low) or title (of the first member by path, low to high); ties by group_id."""
+    if mode in ("saving", "similarity"):
+        return groups.orderBy(F.desc_nulls_last({"saving": "space_saving_bytes", "similarity": "average_similarity"}[mode]), "group_id")
+    known = members.filter("filepath IS NOT NULL").select("group_id", "filepath").distinct().join(tracks.select("filepath", F.lower(display_title()).alias("shown"), "filesize"), "filepath")
+    facts = known.groupBy("group_id").agg(F.min_by("shown", "filepath").alias("first_title"), F.sum("filesize").alias("total_size"))
+    return groups.join(facts, "group_id", "left").orderBy(F.asc_nulls_last("first_title") if mode == "title" else F.desc_nulls_last("total_size"), "group_id")
+
+
+def totals(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: groups, their members, and the space to be saved."""
+    m = members.filter("group_id IS NOT NULL AND filepath IS NOT NULL").select("group_id", "filepath").distinct().join(groups.select("group_id"), "group_id", "left_semi")
+    rows = groups.select(F.lit(1).alias("g"), F.lit(0).alias("t"), F.col("space_saving_bytes").alias("s")).unionByName(m.select(F.lit(0).alias("g"), F.lit(1).alias("t"), F.lit(None).cast("bigint").alias("s")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return rows.agg(total("g").alias("groups"), total("t").alias("tracks"), total("s").alias("saving"))
+
+
 def tab(groups: DataFrame, name: str) -> DataFrame:
     kinds = {"exact": ("EXACT_HASH", "EXACT_AUDIO"), "acoustic": ("ACOUSTIC_DUPLICATE",), "possible": ("POSSIBLE_DUPLICATE",)}
     return groups if name == "all" else groups.filter(F.col("primary_type").isin(*kinds[name]))

@@ -91,8 +91,24 @@ class Journal:
         return row["created_at"]
 
 
+def trash(source: str, folder: str | None = None) -> str:
+    """Move a file to the trash folder (the user's, in the layout of the desktop standard, unless one is given) and return where it went."""
+    root = folder or os.path.join(os.environ.get("XDG_DATA_HOME", os.path.expanduser("~/.local/share")), "Trash")
+    for d in ("files", "info"):
+        os.makedirs(os.path.join(root, d), exist_ok=True)
+    stem, ext = os.path.splitext(os.path.basename(source))
+    n, target = 0, os.path.join(root, "files", stem + ext)
+    while os.path.exists(target):
+        n += 1
+        target = os.path.join(root, "files", f"{stem}_{n}{ext}")
+    with open(os.path.join(root, "info", os.path.basename(target) + ".trashinfo"), "w", encoding="utf-8") as f:
+        f.write(f"[Trash Info]\nPath={os.path.abspath(source)}\nDeletionDate={datetime.datetime.now().isoformat(timespec='seconds')}\n")
+    shutil.move(source, target)
+    return target
+
+
 def execute(steps: Iterable[tuple[str, str]], journal: Journal, action: str = "BACKUP") -> dict:
-    """Move (BACKUP) or delete planned files one by one. Nothing is touched whose PENDING row could not be written."""
+    """Move (BACKUP), put in the trash (TRASH) or delete planned files one by one. Nothing is touched whose PENDING row could not be written."""
     out = {"success": 0, "failed": 0, "logs": []}
     for source, target in steps:
         op = uuid.uuid4().hex
@@ -106,6 +122,8 @@ def execute(steps: Iterable[tuple[str, str]], journal: Journal, action: str = "B
             if action == "BACKUP":
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 shutil.move(source, target)
+            elif action == "TRASH":
+                target = trash(source)
             else:
                 os.remove(source)
             journal.append(op, source, action, target or "", "FS_DONE", created)

@@ -32,6 +32,15 @@ def quality_tab(tracks: DataFrame, name: str) -> DataFrame:
     return tracks.filter(rule[name])
 
 
+def quality_search(tracks: DataFrame, text: str) -> DataFrame:
+    return tracks.filter(holds(text, filename("filepath"), F.col("title"), F.col("artist"), F.col("format"), F.col("quality_details")))
+
+
+def quality_ordered(tracks: DataFrame, tab: str) -> DataFrame:
+    """The fake tab by confidence, high to low; the others by score, low to high."""
+    return tracks.orderBy(F.desc_nulls_last("fake_lossless_confidence") if tab == "fake" else F.asc_nulls_last("quality_score"), F.asc_nulls_first("filepath"), "id")
+
+
 def diagnosis() -> Column:
     """A label by the first rule that fits."""
     lossless, rate = F.coalesce("is_lossless", F.lit(False)), F.coalesce("bitrate", F.lit(0))

@@ -63,7 +63,7 @@ def top_formats(s, d):
 
 
 def quality_kpis(s, d):
-    return library.quality_kpis(_t(s, d, "tracks")).drop("average_score")
+    return library.quality_kpis(_t(s, d, "tracks")).withColumn("average_score", F.round("average_score", 6))
 
 
 def library_page(s, d):
@@ -87,7 +87,7 @@ def exact_hash_links(s, d):
 
 
 def track_tokens(s, d):
-    return matching.tokens(_t(s, d, "tracks")).groupBy("id").agg(F.count("*").alias("tokens"), F.min("token").alias("lowest"), F.max("token").alias("highest"))
+    return matching.tokens(_t(s, d, "tracks")).groupBy("id").agg(F.count("*").alias("tokens"), F.min("token").alias("lowest"), F.max("token").alias("highest"), F.sum("token").alias("total"), F.bit_xor("token").alias("mixed"))
 
 
 def candidates(s, d):
@@ -105,7 +105,7 @@ def candidate_coverage(s, d):
 def pair_evidence(s, d):
     t = _library(s, d)
     pairs = matching.candidate_pairs(matching.tokens(t))
-    return matching.evidence(pairs, t).drop("reasons")
+    return matching.evidence(pairs, t).withColumn("reasons", F.array_join("reasons", ","))
 
 
 def pipeline(s, d) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +113,7 @@ def pipeline(s, d) -> tuple[DataFrame, DataFrame]:
     t = _library(s, d)
     grouping.ensure_checkpoints(s)
     link = lambda df, kind: df.select("id_a", "id_b", F.lit(kind).alias("classification"), F.lit(100.0).alias("confidence"), F.lit(False).alias("requires_manual_review"))
-    exact = link(matching.exact_links(t, "sha256"), "EXACT_HASH").unionByName(link(matching.exact_pairs(t, "audio_hash", matching.AUDIO_TOLERANCE), "EXACT_AUDIO")).checkpoint()
+    exact = link(matching.exact_links(t, "sha256"), "EXACT_HASH").unionByName(link(matching.near_links(t, "audio_hash"), "EXACT_AUDIO")).checkpoint()
     label = grouping.components(exact, "id_a", "id_b")
     pairs = matching.candidate_pairs(matching.tokens(t))
     la, lb = (label.select(F.col("node").alias(f"id_{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
@@ -136,8 +136,7 @@ def _reports(s, d):
 
 
 def report_groups(s, d):
-    g, _ = grouping.groups(_reports(s, d), _library(s, d), "track_a_path", "track_b_path", "filepath")
-    return g.drop("best_track_reason")
+    return grouping.groups(_reports(s, d), _library(s, d), "track_a_path", "track_b_path", "filepath")[0]
 
 
 def report_actions(s, d):
@@ -203,7 +202,7 @@ def evaluation_severity(s, d):
 
 def manifest_hydrated(s, d):
     r = _t(s, d, "evidence_reports").select("track_a_path", "track_b_path", F.col("classification").alias("expected_category"))
-    return evaluation.hydrate(r, _library(s, d)).groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n"))
+    return evaluation.hydrate(r, _library(s, d)).select("track_a_path", "track_b_path", "expected_category", "id_a", "id_b", "error")
 
 
 def journal_states(s, d):
@@ -226,22 +225,24 @@ def action_status(s, d):
 
 
 def event_speed(s, d):
-    e = _t(s, d, "events").select(F.col("user_id").alias("series"), "ts", F.col("event_id").alias("event"), (F.col("event_id") % 17).cast("double").alias("value"))
+    """Values in hundredths, so that the moving sums are exact in any order."""
+    e = _t(s, d, "events").select(F.col("user_id").alias("series"), "ts", F.col("event_id").alias("event"), F.round(F.col("value") * 100).alias("value"))
     return incremental.moving_speed(e).select("event", "average")
 
 
 def sign_bits(s, d):
-    """Bit errors between each embedding's sign bits and those of its label's first vector."""
-    bits = F.aggregate(F.slice("embedding", 1, 32), F.lit(0).cast("bigint"), lambda acc, x: acc * 2 + F.when(x >= 0, 1).otherwise(0))
-    e = _t(s, d, "embeddings").select("vec_id", "label", bits.alias("frame"))
-    first = e.groupBy("label").agg(F.min_by("frame", "vec_id").alias("first"))
-    return e.join(first, "label").select("vec_id", F.bit_count(F.col("frame").bitwiseXOR(F.col("first"))).cast("int").alias("bit_errors"))
+    """Differing signs between each embedding and its label's first vector, over all dimensions."""
+    e = _t(s, d, "embeddings").select("vec_id", "label", "embedding")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("first"))
+    wrong = F.aggregate(F.zip_with("embedding", "first", lambda x, y: ((x >= 0) != (y >= 0)).cast("int")), F.lit(0), lambda n, x: n + x)
+    return e.join(first, "label").select("vec_id", wrong.alias("bit_errors"))
 
 
 _NAMES = """latest_scan load_defaults derived_columns folder_prefix library_search quality_tabs diagnoses format_stats top_formats quality_kpis library_page quality_scores
 exact_hash_pairs exact_audio_pairs exact_hash_links track_tokens candidates candidates_capped candidate_coverage pair_evidence group_pipeline group_members_ranked report_groups report_actions report_summary
 session_prune session_recommend session_summary session_sorted cache_partition cache_upsert evaluation_metrics evaluation_confusion evaluation_severity manifest_hydrated
 journal_states journal_reconcile action_plan action_status event_speed sign_bits""".split()
-QUERIES = {n: globals()[n] for n in _NAMES}
+from . import more, sql  # noqa: E402
 
-from .sql import SQL  # noqa: E402, F401
+QUERIES = {n: globals()[n] for n in _NAMES} | more.QUERIES
+SQL = sql.SQL | more.SQL

@@ -22,21 +22,26 @@ def _exact(key: str, more: str = "") -> str:
 
 
 SEVERITY = "CASE classification WHEN 'EXACT_HASH' THEN 0 WHEN 'EXACT_AUDIO' THEN 1 WHEN 'ACOUSTIC_DUPLICATE' THEN 2 WHEN 'POSSIBLE_DUPLICATE' THEN 3 WHEN 'LOW_CONFIDENCE_REVIEW' THEN 4 END"
-REPORT_GROUPS = f"""WITH RECURSIVE {LIB},
-l AS (SELECT track_a_path AS a, track_b_path AS b, classification, confidence, requires_manual_review, {SEVERITY} AS sev FROM evidence_reports
-  WHERE track_a_path IS NOT NULL AND track_b_path IS NOT NULL AND track_a_path <> track_b_path AND classification NOT IN ('NO_MATCH', 'UNCERTAIN')),
-e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+def _groups(key: str) -> str:
+    """Groups of the links l(a, b, classification, confidence, requires_manual_review, sev) between values of ``key``."""
+    return f"""e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached),
 lab AS (SELECT node, min(reached) AS label FROM r GROUP BY node),
-listed AS (SELECT label, filepath, filesize, quality_score, bitrate, id FROM lab JOIN lib ON node = filepath),
+listed AS (SELECT label, filepath, filesize, quality_score, bitrate, id FROM lab JOIN lib ON node = {key}),
 sizes AS (SELECT label, count(*) AS members FROM listed GROUP BY label HAVING count(*) >= 2),
 typed AS (SELECT label, max(sev) AS worst, bool_or(coalesce(requires_manual_review, false) OR sev >= 3) AS requires_manual_review, max(confidence) AS average_similarity FROM l JOIN lab ON l.a = lab.node GROUP BY label),
-m AS (SELECT label, filepath, filesize, row_number() OVER (PARTITION BY label ORDER BY quality_score DESC NULLS LAST, bitrate DESC NULLS LAST, filesize DESC NULLS LAST, filepath, id) AS rank, requires_manual_review
+m AS (SELECT label, id, filepath, filesize, quality_score, row_number() OVER (PARTITION BY label ORDER BY quality_score DESC NULLS LAST, bitrate DESC NULLS LAST, filesize DESC NULLS LAST, filepath, id) AS rank, requires_manual_review
   FROM listed JOIN sizes USING (label) JOIN typed USING (label)),
 acted AS (SELECT *, CASE WHEN requires_manual_review THEN 'UNSET' WHEN rank = 1 THEN 'KEEP' ELSE 'DELETE' END AS action FROM m),
-totals AS (SELECT label, max(CASE WHEN rank = 1 THEN filepath END) AS best_track_path, coalesce(sum(CASE WHEN action = 'DELETE' THEN filesize END), 0)::BIGINT AS space_saving_bytes FROM acted GROUP BY label),
-g AS (SELECT label, requires_manual_review, average_similarity, members, ['EXACT_HASH', 'EXACT_AUDIO', 'ACOUSTIC_DUPLICATE', 'POSSIBLE_DUPLICATE', 'LOW_CONFIDENCE_REVIEW'][worst + 1] AS primary_type, best_track_path, space_saving_bytes
-  FROM typed JOIN sizes USING (label) JOIN totals USING (label))
+totals AS (SELECT label, max(CASE WHEN rank = 1 THEN filepath END) AS best_track_path, max(CASE WHEN rank = 1 THEN quality_score END) AS best_score, coalesce(sum(CASE WHEN action = 'DELETE' THEN filesize END), 0)::BIGINT AS space_saving_bytes FROM acted GROUP BY label),
+g AS (SELECT label, requires_manual_review, average_similarity, members, ['EXACT_HASH', 'EXACT_AUDIO', 'ACOUSTIC_DUPLICATE', 'POSSIBLE_DUPLICATE', 'LOW_CONFIDENCE_REVIEW'][worst + 1] AS primary_type, best_track_path, space_saving_bytes, printf('best_quality %.0f', round_even(coalesce(best_score, 0), 0)) AS best_track_reason
+  FROM typed JOIN sizes USING (label) JOIN totals USING (label))"""
+
+
+REPORT_GROUPS = f"""WITH RECURSIVE {LIB},
+l AS (SELECT track_a_path AS a, track_b_path AS b, classification, confidence, requires_manual_review, {SEVERITY} AS sev FROM evidence_reports
+  WHERE track_a_path IS NOT NULL AND track_b_path IS NOT NULL AND track_a_path <> track_b_path AND classification NOT IN ('NO_MATCH', 'UNCERTAIN')),
+{_groups("filepath")}
 """
 
 
@@ -53,12 +58,12 @@ x AS (SELECT a, b, max(CASE WHEN late = 1 THEN classification END) AS expected,
 CLASSES = "(VALUES ('EXACT_HASH'), ('EXACT_AUDIO'), ('ACOUSTIC_DUPLICATE'), ('POSSIBLE_DUPLICATE'), ('LOW_CONFIDENCE_REVIEW'), ('NO_MATCH'), ('UNCERTAIN')) AS k(class)"
 _CLASS_LIST = ("EXACT_HASH", "EXACT_AUDIO", "ACOUSTIC_DUPLICATE", "POSSIBLE_DUPLICATE", "LOW_CONFIDENCE_REVIEW", "NO_MATCH", "UNCERTAIN")
 
-EVIDENCE = f"""WITH {LIB}, {_tokens("lib")}, {_pairs(500)},
-j AS (SELECT id_a, id_b, a.fingerprint AS fa, b.fingerprint AS fb, abs(coalesce(a.duration, 0.0) - coalesce(b.duration, 0.0)) AS gap, a.spectral_cutoff AS ca, b.spectral_cutoff AS cb,
+def _evidence(pairs: str) -> str:
+    return f"""j AS (SELECT id_a, id_b, a.fingerprint AS fa, b.fingerprint AS fb, abs(coalesce(a.duration, 0.0) - coalesce(b.duration, 0.0)) AS gap, a.spectral_cutoff AS ca, b.spectral_cutoff AS cb, coalesce(a.audio_hash <> '' AND a.audio_hash = b.audio_hash, false) AS same_audio,
   (a.format IS NOT DISTINCT FROM b.format AND a.samplerate IS NOT DISTINCT FROM b.samplerate AND a.channels IS NOT DISTINCT FROM b.channels AND a.bitrate IS NOT DISTINCT FROM b.bitrate) AS metadata_match,
   CASE WHEN a.sha256 <> '' AND a.sha256 = b.sha256 THEN 'EXACT_HASH' WHEN a.audio_hash <> '' AND a.audio_hash = b.audio_hash AND abs(coalesce(a.duration, 0.0) - coalesce(b.duration, 0.0)) <= 0.5 THEN 'EXACT_AUDIO'
     WHEN abs(coalesce(a.duration, 0.0) - coalesce(b.duration, 0.0)) > 90 THEN 'NO_MATCH' WHEN coalesce(len(a.fingerprint), 0) = 0 OR coalesce(len(b.fingerprint), 0) = 0 THEN 'UNCERTAIN' END AS tier
-  FROM pairs JOIN lib a ON a.id = id_a JOIN lib b ON b.id = id_b),
+  FROM {pairs} JOIN lib a ON a.id = id_a JOIN lib b ON b.id = id_b),
 n AS (SELECT id_a, id_b, fa, fb, len(fa) AS la, len(fb) AS lb, greatest(5, least(40, least(len(fa), len(fb)) // 2 + 1)) AS need FROM j WHERE tier IS NULL),
 o AS (SELECT *, unnest(generate_series(-least(600, la - need), least(600, lb - need))) AS o FROM n WHERE la >= need AND lb >= need),
 w AS (SELECT id_a, id_b, o, CASE WHEN o >= 0 THEN least(la, lb - o) ELSE least(la + o, lb) END AS n, need, fa, fb FROM o),
@@ -68,8 +73,28 @@ sim AS (SELECT j.*, CASE WHEN tier IS NULL AND b.rate <= 0.5 THEN 1.0::DOUBLE -
 con AS (SELECT *, CASE WHEN tier IN ('EXACT_HASH', 'EXACT_AUDIO') THEN 100.0 WHEN tier IS NOT NULL THEN 0.0 ELSE least(99.9::DOUBLE, greatest(0.0, similarity * 100.0::DOUBLE + CASE WHEN similarity * 100.0::DOUBLE < 40.0 THEN 0.0 ELSE
   greatest(0.0, (1.0::DOUBLE - abs(offset_frames) / 15.0::DOUBLE) * 3.0::DOUBLE) + greatest(0.0, (1.0::DOUBLE - gap / 2.0::DOUBLE) * 2.0::DOUBLE) + CASE WHEN gap >= 10 THEN greatest(-10.0, (gap - 10.0::DOUBLE) * -10.0::DOUBLE / 20.0::DOUBLE) ELSE 0.0 END
   + CASE WHEN ca > 0 AND cb > 0 THEN greatest(0.0, 1.0::DOUBLE - abs(ca - cb) / 1000.0::DOUBLE) ELSE 0.0 END END)) END AS confidence FROM sim),
-cl AS (SELECT *, coalesce(tier, CASE WHEN confidence >= 95 THEN CASE WHEN gap > 2 THEN 'POSSIBLE_DUPLICATE' ELSE 'ACOUSTIC_DUPLICATE' END WHEN confidence >= 80 THEN 'POSSIBLE_DUPLICATE' WHEN confidence >= 40 THEN 'LOW_CONFIDENCE_REVIEW' ELSE 'NO_MATCH' END) AS classification FROM con)
-SELECT id_a, id_b, classification, confidence::DOUBLE AS confidence, similarity::DOUBLE AS similarity, offset_frames::INTEGER AS offset_frames, gap AS duration_diff, metadata_match, tier IS NULL AND classification IN ('POSSIBLE_DUPLICATE', 'LOW_CONFIDENCE_REVIEW') AS requires_manual_review FROM cl"""
+cl AS (SELECT *, coalesce(tier, CASE WHEN confidence >= 95 THEN CASE WHEN gap > 2 THEN 'POSSIBLE_DUPLICATE' ELSE 'ACOUSTIC_DUPLICATE' END WHEN confidence >= 80 THEN 'POSSIBLE_DUPLICATE' WHEN confidence >= 40 THEN 'LOW_CONFIDENCE_REVIEW' ELSE 'NO_MATCH' END) AS classification FROM con)"""
+
+
+REASONS = """concat_ws(',', lower(tier), CASE WHEN same_audio AND gap > 0.5 THEN 'audio_hash_duration_differs' END, CASE WHEN tier IS NULL AND confidence >= 95 AND gap > 2 THEN 'duration_firewall' END,
+  CASE WHEN tier IS NULL AND gap >= 10 THEN 'duration_penalty' END, CASE WHEN metadata_match THEN 'metadata_match' END)"""
+EVIDENCE = f"""WITH {LIB}, {_tokens("lib")}, {_pairs(500)},
+{_evidence("pairs")}
+SELECT id_a, id_b, classification, confidence::DOUBLE AS confidence, similarity::DOUBLE AS similarity, offset_frames::INTEGER AS offset_frames, gap AS duration_diff, metadata_match, tier IS NULL AND classification IN ('POSSIBLE_DUPLICATE', 'LOW_CONFIDENCE_REVIEW') AS requires_manual_review, {REASONS} AS reasons FROM cl"""
+
+LIBRARY_GROUPS = f"""WITH RECURSIVE {LIB},
+ex AS (SELECT a.id AS a, b.id AS b, 'EXACT_HASH' AS classification, 0 AS sev FROM lib a JOIN lib b ON a.sha256 = b.sha256 AND a.sha256 <> '' AND a.id < b.id
+  UNION ALL SELECT a.id, b.id, 'EXACT_AUDIO', 1 FROM lib a JOIN lib b ON a.audio_hash = b.audio_hash AND a.audio_hash <> '' AND a.id < b.id AND abs(a.duration - b.duration) <= 0.5),
+xe AS (SELECT a, b FROM ex UNION SELECT b, a FROM ex),
+xr AS (SELECT a AS node, a AS reached FROM xe UNION SELECT xr.node, xe.b FROM xr JOIN xe ON xe.a = xr.reached),
+xl AS (SELECT node, min(reached) AS label FROM xr GROUP BY node),
+{_tokens("lib")}, {_pairs(500)},
+op AS (SELECT id_a, id_b FROM pairs LEFT JOIN xl p ON p.node = id_a LEFT JOIN xl q ON q.node = id_b WHERE p.label IS NULL OR q.label IS NULL OR p.label <> q.label),
+{_evidence("op")},
+l AS (SELECT a, b, classification, 100.0::DOUBLE AS confidence, false AS requires_manual_review, sev FROM ex UNION ALL SELECT id_a, id_b, classification, confidence::DOUBLE, tier IS NULL AND classification IN ('POSSIBLE_DUPLICATE', 'LOW_CONFIDENCE_REVIEW'), {SEVERITY}
+  FROM cl WHERE classification NOT IN ('NO_MATCH', 'UNCERTAIN')),
+{_groups("id")}
+"""
 
 PLAN = """m AS (SELECT group_id, filepath, max(action) AS action FROM group_members WHERE group_id IS NOT NULL AND filepath IS NOT NULL GROUP BY 1, 2),
 safe AS (SELECT group_id, bool_or(coalesce(action <> 'DELETE', true)) AS has_other FROM m GROUP BY 1),
@@ -93,7 +118,7 @@ SQL = {
         WHEN coalesce(bitrate, 0) >= 256 THEN 'high_bitrate' WHEN coalesce(bitrate, 0) >= 192 THEN 'medium_bitrate' ELSE 'low_bitrate' END AS diagnosis FROM tracks""",
     "format_stats": "SELECT upper(coalesce(nullif(format, ''), 'UNKNOWN')) AS format, count(*) AS files, coalesce(sum(filesize), 0)::BIGINT AS bytes FROM tracks GROUP BY 1",
     "top_formats": "SELECT upper(coalesce(nullif(format, ''), 'UNKNOWN')) AS format, count(*) AS files, coalesce(sum(filesize), 0)::BIGINT AS bytes FROM tracks GROUP BY 1 ORDER BY files DESC, 1 LIMIT 5",
-    "quality_kpis": f"""SELECT count(*) AS tracks, coalesce(sum(filesize), 0)::BIGINT AS bytes, count(*) FILTER ({LOSSLESS} AND {CONF} <= 50) AS true_lossless, count(*) FILTER ({CONF} > 50) AS fake_lossless,
+    "quality_kpis": f"""SELECT count(*) AS tracks, round(avg(quality_score) FILTER (quality_score > 0), 6) AS average_score, coalesce(sum(filesize), 0)::BIGINT AS bytes, count(*) FILTER ({LOSSLESS} AND {CONF} <= 50) AS true_lossless, count(*) FILTER ({CONF} > 50) AS fake_lossless,
         count(*) FILTER (NOT {LOSSLESS} AND bitrate > 0 AND bitrate < 192) AS low_bitrate FROM tracks""",
     "library_page": "SELECT id, filepath, quality_score FROM tracks ORDER BY quality_score DESC NULLS LAST, filepath NULLS FIRST, id LIMIT 50 OFFSET 50",
     "quality_scores": f"""WITH q AS (SELECT id, {LOSSLESS} AS l, {CONF} AS conf, coalesce(spectral_assessment, 'unknown') = 'suspected_transcode' OR {CONF} > 50 AS fake, upper(coalesce(format, '')) AS f, coalesce(bitrate, 0) AS r, coalesce(bit_depth, 0) AS d, coalesce(samplerate, 0) AS hz FROM tracks)
@@ -104,12 +129,14 @@ SQL = {
     "exact_hash_pairs": _exact("sha256"),
     "exact_audio_pairs": _exact("audio_hash", "AND abs(a.duration - b.duration) <= 0.5"),
     "exact_hash_links": "SELECT f.id AS id_a, t.id AS id_b FROM (SELECT *, first_value(id) OVER (PARTITION BY sha256 ORDER BY filepath NULLS FIRST, id) AS first_id FROM tracks WHERE sha256 <> '') t JOIN tracks f ON f.id = t.first_id WHERE t.id <> f.id",
-    "track_tokens": f"WITH {_tokens('tracks')} SELECT id, count(*) AS tokens, min(token) AS lowest, max(token) AS highest FROM tok GROUP BY id",
+    "track_tokens": f"WITH {_tokens('tracks')} SELECT id, count(*) AS tokens, min(token) AS lowest, max(token) AS highest, sum(token)::BIGINT AS total, bit_xor(token) AS mixed FROM tok GROUP BY id",
     "candidates": f"WITH {_tokens('tracks')}, {_pairs(500)} SELECT * FROM pairs",
     "candidates_capped": f"WITH {_tokens('tracks')}, {_pairs(4)} SELECT * FROM pairs",
     "candidate_coverage": f"""WITH {_tokens('tracks')}, n AS (SELECT count(*) AS n FROM tok GROUP BY token)
         SELECT coalesce(sum(least(n, 4) * (least(n, 4) - 1) // 2), 0)::BIGINT AS pairs_generated, coalesce(sum(n * (n - 1) // 2 - least(n, 4) * (least(n, 4) - 1) // 2), 0)::BIGINT AS pairs_dropped, count(*) FILTER (n > 4) AS oversized_buckets, count(*) FILTER (n > 4) > 0 AS is_approximate FROM n""",
     "pair_evidence": EVIDENCE,
+    "group_pipeline": LIBRARY_GROUPS + "SELECT * FROM g",
+    "group_members_ranked": LIBRARY_GROUPS + "SELECT label, id, filepath, filesize, rank::INTEGER AS rank, action FROM acted",
     "report_groups": REPORT_GROUPS + "SELECT * FROM g",
     "report_actions": REPORT_GROUPS + "SELECT label, filepath, rank::INTEGER AS rank, action FROM acted",
     "report_summary": REPORT_GROUPS + _summary("g"),
@@ -131,8 +158,9 @@ SQL = {
     "evaluation_confusion": f"WITH {LABELLED} SELECT class AS expected, " + ", ".join(f"count(*) FILTER (predicted = '{c}') AS {c}" for c in _CLASS_LIST) + f" FROM {CLASSES} LEFT JOIN x ON x.expected = class GROUP BY class",
     "evaluation_severity": f"""WITH {LABELLED} SELECT CASE WHEN expected = predicted THEN 'NONE' WHEN expected = 'NO_MATCH' AND predicted IN ('EXACT_HASH', 'EXACT_AUDIO', 'ACOUSTIC_DUPLICATE', 'POSSIBLE_DUPLICATE') THEN 'CRITICAL'
         WHEN (expected IN ('EXACT_HASH', 'EXACT_AUDIO', 'ACOUSTIC_DUPLICATE') AND predicted IN ('POSSIBLE_DUPLICATE', 'NO_MATCH', 'UNCERTAIN')) OR (expected = 'POSSIBLE_DUPLICATE' AND predicted IN ('EXACT_HASH', 'EXACT_AUDIO', 'ACOUSTIC_DUPLICATE')) THEN 'MODERATE' ELSE 'LOW' END AS severity, count(*) AS pairs FROM x GROUP BY 1""",
-    "manifest_hydrated": f"""WITH {LIB} SELECT CASE WHEN a.id IS NULL THEN 'track_a' WHEN b.id IS NULL THEN 'track_b' ELSE 'none' END AS error, count(*) AS n FROM evidence_reports r LEFT JOIN lib a ON a.filepath = track_a_path LEFT JOIN lib b ON b.filepath = track_b_path
-        WHERE trim(track_a_path) <> '' AND trim(track_b_path) <> '' GROUP BY 1""",
+    "manifest_hydrated": f"""WITH {LIB} SELECT track_a_path, track_b_path, classification AS expected_category, a.id AS id_a, b.id AS id_b, CASE WHEN classification IS NULL OR classification NOT IN {_CLASS_LIST} THEN 'label'
+        WHEN a.id IS NULL THEN 'track_a' WHEN b.id IS NULL THEN 'track_b' END AS error FROM evidence_reports r LEFT JOIN lib a ON a.filepath = track_a_path LEFT JOIN lib b ON b.filepath = track_b_path
+        WHERE trim(track_a_path) <> '' AND trim(track_b_path) <> ''""",
     "journal_states": "SELECT op_id, state, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY op_id ORDER BY updated_at DESC NULLS LAST, CASE state WHEN 'PENDING' THEN 0 WHEN 'FS_DONE' THEN 1 WHEN 'COMPLETED' THEN 2 WHEN 'FAILED' THEN 2 WHEN 'ABORTED' THEN 2 ELSE -1 END DESC, state DESC NULLS LAST) AS rn FROM operation_journal WHERE op_id IS NOT NULL) WHERE rn = 1",
     "journal_reconcile": """WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY op_id ORDER BY updated_at DESC NULLS LAST, CASE state WHEN 'PENDING' THEN 0 WHEN 'FS_DONE' THEN 1 WHEN 'COMPLETED' THEN 2 WHEN 'FAILED' THEN 2 WHEN 'ABORTED' THEN 2 ELSE -1 END DESC, state DESC NULLS LAST) AS rn FROM operation_journal WHERE op_id IS NOT NULL) WHERE rn = 1 AND state IN ('PENDING', 'FS_DONE')),
         f AS (SELECT DISTINCT filepath FROM tracks), o AS (SELECT op_id, p.filepath, CASE WHEN s.filepath IS NOT NULL THEN 'ABORTED' WHEN upper(action) IN ('BACKUP', 'MOVE') AND t.filepath IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS outcome FROM p LEFT JOIN f s ON s.filepath = p.filepath LEFT JOIN f t ON t.filepath = p.target_path)
@@ -140,7 +168,7 @@ SQL = {
     "action_plan": f"""WITH {PLAN} SELECT group_id, filepath, verdict, CASE WHEN verdict = 'planned' THEN '/backup/' || regexp_replace(name, '(.)\\.[^.]*$', '\\1') || CASE WHEN n > 0 THEN '_' || n ELSE '' END || regexp_extract(name[2:], '\\.[^.]*$') END AS target_path FROM pl""",
     "action_status": f"""WITH {PLAN}, c AS (SELECT group_id, count(*) FILTER (verdict = 'planned') AS s, count(*) FILTER (verdict IN ('last_copy', 'missing')) AS f, count(*) FILTER (verdict = 'blocked') AS b FROM pl GROUP BY 1)
         SELECT group_id, CASE WHEN s > 0 AND f > 0 THEN 'PARTIAL_FAILURE' WHEN s > 0 AND b > 0 THEN 'PARTIAL_SUCCESS' WHEN f > 0 THEN 'FAILED' WHEN b > 0 THEN 'BLOCKED' ELSE 'SUCCESS' END AS status FROM c""",
-    "event_speed": "SELECT event_id AS event, avg((event_id % 17)::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS average FROM events",
-    "sign_bits": """WITH e AS (SELECT vec_id, label, list_reduce(list_prepend(0::BIGINT, list_transform(embedding[1:32], lambda x: CASE WHEN x >= 0 THEN 1::BIGINT ELSE 0::BIGINT END)), lambda a, b: a * 2 + b) AS frame FROM embeddings),
-        f AS (SELECT label, arg_min(frame, vec_id) AS first FROM e GROUP BY label) SELECT vec_id, bit_count(xor(frame, first))::INTEGER AS bit_errors FROM e JOIN f USING (label)""",
+    "event_speed": "SELECT event_id AS event, avg(round(value * 100)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS average FROM events",
+    "sign_bits": """WITH f AS (SELECT label, arg_min(embedding, vec_id) AS first FROM embeddings GROUP BY label)
+        SELECT vec_id, list_sum(list_transform(generate_series(1, len(embedding)), lambda i: ((embedding[i] >= 0) <> (first[i] >= 0))::INTEGER))::INTEGER AS bit_errors FROM embeddings JOIN f USING (label)""",
 }

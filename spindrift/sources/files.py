@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import replace_file
 from ..functions.columns import AUDIO_EXTENSIONS, LOSSLESS_FORMATS, extension
 from ..functions.kernels import file_signature
 
@@ -54,25 +55,34 @@ def metadata_rules(df: DataFrame) -> DataFrame:
     return df.withColumns({"format": fmt, "is_lossless": lossless, "bitrate": rate})
 
 
-def _fingerprint(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tool = shutil.which("fpcalc")
-    for pdf in parts:
-        rows = []
-        for p in pdf["filepath"]:
-            frames, seconds = [], None
-            if tool:
+def _fingerprint(seconds: float, timeout: float):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool = shutil.which("fpcalc")
+        for pdf in parts:
+            rows = []
+            for p in pdf["filepath"]:
+                if not tool:
+                    rows.append((p, None, None, "fpcalc is not installed"))
+                    continue
                 try:
-                    got = json.loads(subprocess.run([tool, "-raw", "-json", "-length", "60", p], capture_output=True, timeout=30, check=True).stdout)
-                    frames, seconds = [int(x) & 0xFFFFFFFF for x in got["fingerprint"]], float(got["duration"])
-                except (OSError, ValueError, KeyError, subprocess.SubprocessError):
-                    pass
-            rows.append((p, seconds, frames))
-        yield pd.DataFrame(rows, columns=["filepath", "duration", "fingerprint"])
+                    got = json.loads(subprocess.run([tool, "-raw", "-json", "-length", f"{seconds:g}", p], capture_output=True, timeout=timeout, check=True).stdout)
+                    rows.append((p, float(got["duration"]), [int(x) & 0xFFFFFFFF for x in got["fingerprint"]], None))
+                except (OSError, ValueError, KeyError, subprocess.SubprocessError) as e:
+                    rows.append((p, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["filepath", "duration", "fingerprint", "error"])
+
+    return run
+
+
+def fingerprints(files: DataFrame, *, seconds: float = 60.0, timeout: float = 30.0) -> DataFrame:
+    """Fingerprints by the external tool: filepath, duration, fingerprint, error. A missing tool and every failure are named in ``error``, with a NULL fingerprint."""
+    return files.select("filepath").mapInPandas(_fingerprint(seconds, timeout), "filepath string, duration double, fingerprint array<bigint>, error string")
 
 
-def fingerprints(files: DataFrame) -> DataFrame:
-    """Fingerprints by the external tool where it is installed; empty ones elsewhere."""
-    return files.select("filepath").mapInPandas(_fingerprint, "filepath string, duration double, fingerprint array<bigint>")
+def eligibility(tracks: DataFrame, min_duration: float = 5.0, spectral: bool = True) -> DataFrame:
+    """Adds wants_fingerprint (before the duration is known, or long enough), keeps_fingerprint (long enough in the end) and wants_spectrum (lossless, if asked)."""
+    d = F.coalesce("duration", F.lit(0.0))
+    return tracks.withColumns({"wants_fingerprint": (d <= 0) | (d >= min_duration), "keeps_fingerprint": d >= min_duration, "wants_spectrum": F.lit(spectral) & F.coalesce("is_lossless", F.lit(False))})
 
 
 MEMBER = "struct<filepath:string,filesize:bigint,bitrate:int,quality_score:double,action:string>"
@@ -81,18 +91,17 @@ SESSION = f"folder string, groups array<struct<group_id:string,primary_type:stri
 
 def save_session(groups: DataFrame, folder: str, path: str) -> bool:
     """Write a session document (an application file of one user's groups) beside the old one and swap them; the old one stays as .bak."""
-    tmp = f"{path}.tmp"
-    try:
-        with open(tmp, "w", encoding="utf-8") as f:
-            f.write('{"folder": ' + json.dumps(folder) + ', "groups": [')
-            for i, r in enumerate(groups.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
-                f.write((", " if i else "") + r.j)
-            f.write("]}")
-            f.flush()
-            os.fsync(f.fileno())
+
+    def write(f) -> None:
+        f.write('{"folder": ' + json.dumps(folder) + ', "groups": [')
+        for i, r in enumerate(groups.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
+            f.write((", " if i else "") + r.j)
+        f.write("]}")
         if os.path.exists(path):
             shutil.copy2(path, f"{path}.bak")
-        os.replace(tmp, path)
+
+    try:
+        replace_file(path, write)
         return True
     except OSError:
         return False
@@ -131,30 +140,75 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
-REPORT_HEADER = ("Grupo", "Tipo", "Acción", "Archivo", "Formato", "Bitrate", "Tamaño", "Duración", "Calidad", "Motivo")
-
-
-def scenario(name: str, n: int, seed: int = 42) -> list[tuple[str, int, float, list[int]]]:
-    """Seeded synthetic libraries for tests and benchmarks: 'sparse' (A), 'realistic' (B), 'dense' (C), 'adversarial' (D)."""
-    rng = random.Random(seed)
-    frames = lambda k: [rng.randint(0, 0xFFFFFFFF) for _ in range(k)]
-    out: list[tuple[str, int, float, list[int]]] = []
-    shared = [0x5555AAAA + i for i in range(10)]
-    while len(out) < n:
-        if name == "adversarial":
-            copies = [shared + frames(70)]
-        elif name == "sparse" or name == "realistic" and rng.random() >= 0.25:
-            copies = [frames(80)]
-        else:
-            base = frames(100)
-            size, most = (rng.randint(2, 4), 5) if name == "realistic" else (rng.randint(10, 15), 4)
-            copies = []
-            for _ in range(size):
-                c = list(base)
-                for _ in range(rng.randint(1, most)):
-                    c[rng.randrange(len(c))] = rng.randint(0, 0xFFFFFFFF)
-                copies.append(c)
-        seconds = rng.uniform(120, 300)
-        for c in copies[: n - len(out)]:
-            out.append((f"/library/{len(out):07d}.mp3", 5_000_000, seconds, c))
-    return out
+#: Headers of the reports.
+REPORT_HEADER = ("Grupo ID", "Tipo Duplicado", "Acción Recomendada", "Ruta Archivo", "Formato", "Bitrate", "Duración", "Tamaño bytes", "Puntaje Calidad", "Razón")
+DELETION_HEADER = ("Timestamp", "Operación", "Archivo", "Estado", "Resultado", "Detalles")
+
+
+def report_rows(groups: DataFrame, members: DataFrame, tracks: DataFrame) -> DataFrame:
+    """One row per member for the report, under ``REPORT_HEADER``: what to do with it, its facts, and the reason beside the best."""
+    from ..operators.journal import cli_label
+
+    g = groups.select("group_id", "primary_type", "best_track_path", "best_track_reason", F.coalesce("requires_manual_review", F.lit(False)).alias("requires_manual_review"))
+    t = tracks.select("filepath", "format", "bitrate", "duration", "filesize", "quality_score")
+    rows = members.filter("filepath IS NOT NULL").select("group_id", "filepath").distinct().join(g, "group_id").join(t, "filepath")
+    rows = rows.withColumn("is_best", F.coalesce(F.col("filepath") == F.col("best_track_path"), F.lit(False)))
+    out = ("group_id", "primary_type", cli_label(), "filepath", "format", "bitrate", "duration", "filesize", "quality_score", F.when(F.col("is_best"), F.col("best_track_reason")).otherwise(""))
+    return rows.select(*[(F.col(c) if isinstance(c, str) else c).alias(h) for c, h in zip(out, REPORT_HEADER)])
+
+
+def deletion_log(journal: DataFrame) -> DataFrame:
+    """One row per state that an operation took, under ``DELETION_HEADER``."""
+    done = F.when(F.col("state") == "COMPLETED", "OK").when(F.col("state").isin("FAILED", "ABORTED"), "ERROR").otherwise("")
+    out = ("updated_at", "action", "filepath", "state", done, F.coalesce("target_path", F.lit("")))
+    return journal.filter("op_id IS NOT NULL").distinct().select(*[(F.col(c) if isinstance(c, str) else c).alias(h) for c, h in zip(out, DELETION_HEADER)])
+
+
+def inventory(files: DataFrame, root: str) -> DataFrame:
+    """relative_path, parent ("(raíz)" for the root), name, suffix of each file below ``root``."""
+    from ..functions.columns import below, filename, parent
+
+    rel = F.substring(F.col("filepath"), len(root.rstrip("/")) + 2, 1 << 20)
+    up = parent(rel)
+    return files.filter(below("filepath", root)).select(rel.alias("relative_path"), F.when(up == "", "(raíz)").otherwise(up).alias("parent"), filename(rel).alias("name"), extension(rel).alias("suffix"))
+
+
+#: Scenarios of synthetic libraries: name prefix, frames of a track, size and duration; and of clusters: share, sizes, replaced frames.
+SCENARIOS = {
+    "A": {"prefix": "track_A", "single": (80, 10_000_000, 180.0)},
+    "B": {"prefix": "song_B", "single": (80, 12_000_000, 210.0), "cluster": (100, 15_000_000, 200.0), "share": 0.25, "sizes": (2, 4), "replaced": (2, 5)},
+    "C": {"prefix": "dense_C", "cluster": (100, 20_000_000, 190.0), "share": None, "sizes": (10, 15), "replaced": (1, 4)},
+    "D": {"prefix": "adv_D", "single": (70, 10_000_000, 180.0), "common": [0x5555AAAA + k for k in range(10)]},
+}
+
+
+def scenario(name: str, n: int, seed: int = 42) -> tuple[list[tuple[str, int, float, list[int]]], list[tuple[str, str]]]:
+    """A seeded synthetic library (A: no duplicates, B: a normal library, C: dense clusters, D: frames that all share) and its true pairs.
+
+    Rows: filepath, filesize, duration, fingerprint. The draws follow one fixed order, so counts can be compared across engines.
+    """
+    rng, s = random.Random(seed), SCENARIOS[name]
+    frame = lambda: rng.randint(1, 0x7FFFFFFF)
+    rows: list[tuple[str, int, float, list[int]]] = []
+    pairs: list[tuple[str, str]] = []
+
+    def add(kind: str, frames: list[int]) -> None:
+        _, size, seconds = s[kind]
+        rows.append((f"{s['prefix']}_{len(rows):06d}.flac", size + len(rows), seconds, frames))
+
+    while len(rows) < n:
+        clustered = "cluster" in s and (s["share"] is None or rng.random() < s["share"] and n - len(rows) >= 2)
+        if not clustered:
+            add("single", s.get("common", []) + [frame() for _ in range(s["single"][0])])
+            continue
+        first, k = len(rows), min(rng.randint(*s["sizes"]), n - len(rows))
+        base = [frame() for _ in range(s["cluster"][0])]
+        for _ in range(k):
+            copy = base.copy()
+            for _ in range(rng.randint(*s["replaced"])):
+                value_at = (frame(), rng.randint(0, len(base) - 1))
+                copy[value_at[1]] = value_at[0]
+            add("cluster", copy)
+        paths = [r[0] for r in rows[first:]]
+        pairs += [(a, b) for i, a in enumerate(paths) for b in paths[i + 1 :]]
+    return rows, pairs

@@ -20,18 +20,37 @@ def watch(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
 
 
 def upsert_stream(rows: DataFrame, root: str, read: Callable[[], DataFrame], checkpoint: str):
-    """Write a version of the table per micro-batch; the batch number names it, so a replayed batch is not added twice."""
-    import os
+    """Write the rows of each micro-batch as a delta of their own; the batch number names it, so a replayed batch is not added twice.
+
+    ``current`` puts base and deltas together and ``compact`` rewrites the base, so a batch costs its own rows and not the table. Rows may lack columns of
+    the table (a listing has no tags); ``last_scanned`` is the time of the batch where they have none. Existence is asked of the file system that ``root`` names.
+    """
+    base = read().schema
 
     def one(batch: DataFrame, number: int) -> None:
-        if os.path.exists(f"{root}/v{number + 1:08d}/_SUCCESS"):
+        path = f"{root}/delta-{number:08d}"
+        if exists(batch.sparkSession, f"{path}/_SUCCESS"):
             return
-        new = cache.upsert(read(), batch)
-        new.write.mode("overwrite").parquet(f"{root}/v{number + 1:08d}")
+        cache.fitted(batch, base).write.mode("overwrite").parquet(path)
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def current(spark: SparkSession, base: DataFrame, root: str, batches: int) -> DataFrame:
+    """The table after so many micro-batches: the base with all deltas upserted, the latest scan of a path last."""
+    paths = [p for n in range(batches) if exists(spark, f"{(p := f'{root}/delta-{n:08d}')}/_SUCCESS")]
+    return cache.upsert(base, spark.read.schema(base.schema).parquet(*paths)) if paths else base
+
+
+def compact(spark: SparkSession, base: DataFrame, root: str, batches: int, version: int) -> str:
+    return cache.write_version(current(spark, base, root, batches), root, version)
+
+
 def moving_speed(samples: DataFrame, last: int = 10) -> DataFrame:
     """Average of the last samples per series: series, ts, value."""
     from pyspark.sql.window import Window

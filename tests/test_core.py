@@ -1,9 +1,12 @@
 """Golden values of single operators."""
 
+import hashlib
+import json
 import random
 import wave
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +15,8 @@ from spindrift.functions import columns as fc
 from spindrift.functions import kernels
 from spindrift.operators import cache, evaluation, grouping, journal, library, matching
 from spindrift.schema import TRACK, conform, missing_columns
-from spindrift.sources import files
+from spindrift.sources import audio, files
+from spindrift.streaming import incremental
 
 
 def tracks(spark, *rows):
@@ -74,13 +78,35 @@ def test_tokens_keep_prefix_zero_and_candidates_need_three(spark):
     assert [tuple(r) for r in matching.candidate_pairs(tok).collect()] == [(0, 1, 4)]
 
 
+def _scenario(spark, name, n):
+    rows, pairs = files.scenario(name, n)
+    df = spark.createDataFrame([(i, p, z, d, fp) for i, (p, z, d, fp) in enumerate(rows)], "id bigint, filepath string, filesize bigint, duration double, fingerprint array<bigint>")
+    return df, pairs
+
+
 def test_adversarial_scenario_counts(spark):
-    rows = files.scenario("adversarial", 600)
-    t = spark.createDataFrame([(i, p, fp) for i, (p, _, _, fp) in enumerate(rows)], "id bigint, filepath string, fingerprint array<bigint>")
+    t, pairs = _scenario(spark, "D", 1000)
+    tok = matching.tokens(t)
+    assert matching.candidate_pairs(tok).count() == 124_750 and not pairs
+    c = matching.coverage(tok).first()
+    assert (c.oversized_buckets, c.pairs_generated, c.pairs_dropped, c.is_approximate) == (11, 1_372_266, 4_122_250, True)
+
+
+def test_realistic_scenario_counts(spark):
+    t, pairs = _scenario(spark, "B", 1000)
     tok = matching.tokens(t)
-    assert matching.candidate_pairs(tok).count() == 500 * 499 // 2
-    c = matching.coverage(tok, 500).first()
-    assert c.oversized_buckets == 11 and c.is_approximate
+    found = matching.candidate_pairs(tok)
+    named = found.join(t.select(F.col("id").alias("id_a"), F.col("filepath").alias("a")), "id_a").join(t.select(F.col("id").alias("id_b"), F.col("filepath").alias("b")), "id_b")
+    r = evaluation.pair_recall(named, spark.createDataFrame(pairs, "a string, b string")).first()
+    assert (r.true_positives, r.missed, r.extra, r.recall, r.precision) == (556, 0, 0, 1.0, 1.0)
+    assert not matching.coverage(tok).first().is_approximate
+
+
+def test_other_scenarios(spark):
+    t, pairs = _scenario(spark, "A", 200)
+    assert t.count() == 200 and not pairs and matching.candidate_pairs(matching.tokens(t)).count() == 0
+    t, pairs = _scenario(spark, "C", 60)
+    assert matching.candidate_pairs(matching.tokens(t)).count() == len(pairs) > 250
 
 
 @pytest.mark.parametrize("sim, gap, want", [(0.95, 2.0, "ACOUSTIC_DUPLICATE"), (0.9499, 2.0, "POSSIBLE_DUPLICATE"), (0.80, 2.0, "POSSIBLE_DUPLICATE"), (0.7999, 2.0, "LOW_CONFIDENCE_REVIEW"), (0.40, 2.0, "LOW_CONFIDENCE_REVIEW"), (0.3999, 2.0, "NO_MATCH")])
@@ -209,3 +235,158 @@ def test_session_round_trip(spark, tmp_path):
     assert [x.group_id for x in r] == ["g1"] and r[0].requires_manual_review
     (tmp_path / "s.json").write_text("{broken")
     assert files.load_session(spark, p).count() == 0
+
+
+def test_near_links_join_what_all_pairs_join(spark):
+    rng = random.Random(4)
+    t = tracks(spark, *[{"audio_hash": rng.choice("xyz"), "duration": round(rng.uniform(0, 12), 1)} for _ in range(80)], {"audio_hash": "x", "duration": None}, {"audio_hash": "", "duration": 1.0})
+    comps = lambda e: {r.node: r.label for r in grouping.components(e, "id_a", "id_b").collect()}
+    links = matching.near_links(t, "audio_hash")
+    assert comps(links) == comps(matching.exact_pairs(t, "audio_hash", 0.5)) and links.count() < 160
+    assert matching.near_links(t.limit(0), "audio_hash").count() == 0
+
+
+def test_audio_hash_counts_only_where_the_sound_is_equal(spark):
+    fp = [(i * 2654435761) % 2**32 for i in range(1, 60)]
+    t = tracks(spark, *[{"audio_hash": "h", "fingerprint": fp} for _ in range(3)])
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "id_a bigint, id_b bigint")
+    sound = spark.createDataFrame([(0, "p"), (1, "p"), (2, "q")], "id bigint, pcm_hash string")
+    got = {r.id_b: (r.classification, r.reasons) for r in matching.evidence(pairs, t, sound=sound).collect()}
+    assert got[1][0] == "EXACT_AUDIO" and got[2][0] == "ACOUSTIC_DUPLICATE" and "audio_hash_not_verified" in got[2][1]
+
+
+def test_group_numbers_are_dense_across_partitions(spark):
+    g = spark.createDataFrame([(f"l{i:04d}",) for i in range(500)], "label string").repartition(16)
+    m = g.select("label", F.concat(F.lit("/"), F.reverse("label")).alias("filepath"))
+    got = {r.label: r.group_id for r in grouping.numbered(g, m).collect()}
+    want = {r: f"group_{k:03d}" for k, r in enumerate(sorted(got, key=lambda x: x[::-1]), 1)}
+    assert got == want
+
+
+def _wav(path, values, width=2, rate=8000, channels=1):
+    with wave.open(str(path), "wb") as w:
+        w.setnchannels(channels), w.setsampwidth(width), w.setframerate(rate)
+        x = np.asarray(values)
+        w.writeframes((x + 128).astype(np.uint8).tobytes() if width == 1 else x.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes())
+
+
+def test_wav_of_every_width(tmp_path):
+    for width, top in ((1, 127), (2, 32767), (3, 2**23 - 1), (4, 2**31 - 1)):
+        values = [0, 1, -1, top, -top - 1]
+        _wav(tmp_path / "x.wav", values, width)
+        x, rate, bits = audio.samples(str(tmp_path / "x.wav"))
+        assert x[:, 0].tolist() == values and (rate, bits) == (8000, width * 8)
+
+
+def test_sound_and_file_hashes(spark, tmp_path):
+    tone = (np.sin(np.arange(24000) / 7) * 9000).astype(int)
+    _wav(tmp_path / "a.wav", tone), _wav(tmp_path / "b.wav", tone), _wav(tmp_path / "c.wav", np.append(tone[:-1], 0)), (tmp_path / "d.wav").write_bytes(b"RIFF")
+    (tmp_path / "b.wav").write_bytes((tmp_path / "b.wav").read_bytes() + b"LIST\4\0\0\0INFO")
+    paths = spark.createDataFrame([(str(tmp_path / f"{n}.wav"),) for n in "abcd"], "filepath string")
+    r = {x.filepath[-5]: x for x in audio.sound_hashes(paths).collect()}
+    assert r["a"].pcm_hash == r["b"].pcm_hash != r["c"].pcm_hash and r["a"].frames == 24000
+    assert r["a"].prefix_hash == r["b"].prefix_hash and r["d"].error and r["d"].pcm_hash is None
+    h = {x.filepath[-5]: x.sha256 for x in audio.file_hashes(paths).collect()}
+    assert h["a"] == hashlib.sha256((tmp_path / "a.wav").read_bytes()).hexdigest() != h["b"]
+    seen = spark.createDataFrame([(str(tmp_path / "a.wav"), h["a"]), (str(tmp_path / "b.wav"), h["a"]), (str(tmp_path / "gone.wav"), "x")], "filepath string, sha256 string")
+    assert {x.filepath[-5] for x in audio.changed_files(seen).collect()} == {"b", "e"}
+
+
+def test_metadata_from_headers(spark, tmp_path):
+    _wav(tmp_path / "a.wav", [0] * 16000, rate=16000)
+    info = b"INFOIART\x08\0\0\0Singer\0\0INAM\x05\0\0\0Song\0\0"
+    raw = (tmp_path / "a.wav").read_bytes()
+    (tmp_path / "a.wav").write_bytes(raw + b"LIST" + len(info).to_bytes(4, "little") + info)
+    bits = (44100 << 44 | 1 << 41 | 23 << 36 | 441000).to_bytes(8, "big")
+    comment = b"\0\0\0\0\2\0\0\0" + b"".join(len(c).to_bytes(4, "little") + c for c in (b"ARTIST=Band", "title=Lied é".encode()))
+    (tmp_path / "b.flac").write_bytes(b"fLaC\0\0\0\x22" + b"\0" * 10 + bits + b"\0" * 16 + b"\x84" + len(comment).to_bytes(3, "big") + comment)
+    tag = b"TIT2\0\0\0\x05\0\0\3Abcd" + b"TALB\0\0\0\x05\0\0\1" + b"\xff\xfeX\0"
+    (tmp_path / "c.mp3").write_bytes(b"ID3\4\0\0\0\0\0" + bytes([len(tag)]) + tag + b"\xff\xfb\x90\x00" + b"\0" * 15996)
+    (tmp_path / "d.ogg").write_bytes(b"nothing")
+    df = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.wav", "b.flac", "c.mp3", "d.ogg", "none.mp3")], "filepath string")
+    r = {x.filepath.rsplit("/", 1)[1]: x for x in audio.metadata(df).collect()}
+    assert (r["a.wav"].samplerate, r["a.wav"].channels, r["a.wav"].bit_depth, r["a.wav"].duration, r["a.wav"].artist, r["a.wav"].title) == (16000, 1, 16, 1.0, "Singer", "Song")
+    assert (r["b.flac"].samplerate, r["b.flac"].channels, r["b.flac"].bit_depth, r["b.flac"].duration, r["b.flac"].artist, r["b.flac"].title) == (44100, 2, 24, 10.0, "Band", "Lied é")
+    assert (r["c.mp3"].bitrate, r["c.mp3"].samplerate, r["c.mp3"].channels, r["c.mp3"].title, r["c.mp3"].album) == (128, 44100, 2, "Abcd", "X") and r["c.mp3"].duration == 1.0
+    assert r["d.ogg"].error and r["none.mp3"].error
+    ruled = files.metadata_rules(audio.metadata(df).withColumn("filesize", F.lit(1_000_000))).select("filepath", "format", "is_lossless").collect()
+    assert {x.filepath.rsplit("/", 1)[1]: (x.format, x.is_lossless) for x in ruled}["c.mp3"] == ("MP3", False)
+
+
+def test_probe_facts():
+    text = '{"streams": [{"codec_type": "video"}, {"codec_type": "audio", "codec_name": "alac", "sample_rate": "48000", "channels": 2, "sample_fmt": "s32p", "bits_per_raw_sample": "24", "duration": "3.5"}], "format": {"bit_rate": "900000", "tags": {"TITLE": "T"}}}'
+    d = audio.parse_probe(text)
+    assert (d["codec"], d["samplerate"], d["layout"], d["bit_depth"], d["lossless"], d["bitrate"], d["duration"], d["tags"]) == ("alac", 48000, "stereo", 24, True, 900, 3.5, {"TITLE": "T"})
+    assert audio.parse_probe("{}") == audio.parse_probe("no json") == {}
+
+
+def test_missing_fingerprint_tool_is_named(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("PATH", "/nowhere")
+    r = next(files._fingerprint(60, 5)(iter([pd.DataFrame({"filepath": ["/a.mp3"]})]))).iloc[0]
+    assert r.fingerprint is None and "not installed" in r.error
+
+
+def test_watched_folder_flows_into_the_table(spark, tmp_path):
+    music, root = tmp_path / "music", str(tmp_path / "table")
+    music.mkdir()
+    (music / "a.mp3").write_bytes(b"x" * 10), (music / "b.txt").write_bytes(b"x")
+    base = cache.fitted(spark.createDataFrame([(7, str(music / "a.mp3"), 5)], "id bigint, filepath string, filesize bigint"), TRACK)
+    base.write.parquet(f"{root}/v00000000")
+    read = lambda: spark.read.parquet(f"{root}/v00000000")
+    run = lambda: incremental.upsert_stream(incremental.watch(spark, str(music)), root, read, str(tmp_path / "ck")).awaitTermination(120)
+    run()
+    (music / "c.flac").write_bytes(b"y" * 20)
+    run()
+    rows = {r.filepath.rsplit("/", 1)[1]: r for r in incremental.current(spark, read(), root, 5).collect()}
+    assert rows.keys() == {"a.mp3", "c.flac"} and (rows["a.mp3"].id, rows["a.mp3"].filesize) == (7, 10) and rows["c.flac"].last_scanned is not None
+    deltas = spark.read.parquet(f"{root}/delta-*").count()
+    run()  # nothing new: nothing is added
+    assert spark.read.parquet(f"{root}/delta-*").count() == deltas == 2
+    path = incremental.compact(spark, read(), root, 5, 1)
+    assert spark.read.parquet(path).count() == 2 and cache.stored_size(spark, path) > 0
+
+
+def test_bounded_batches(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.mp3").write_bytes(b"x")
+    seen = []
+    q = incremental.watch(spark, str(tmp_path), max_files=2).writeStream.foreachBatch(lambda b, n: seen.append(b.count())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sum(seen) == 5 and max(seen) <= 2
+
+
+def test_trash_and_report(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_DATA_HOME", str(tmp_path / "share"))
+    for n in ("p", "q"):
+        (tmp_path / n).mkdir()
+        (tmp_path / n / "x.mp3").write_text(n)
+    steps = [(str(tmp_path / n / "x.mp3"), None) for n in ("p", "q")]
+    assert journal.execute(steps, journal.Journal(str(tmp_path / "j.jsonl")), "TRASH")["success"] == 2
+    assert sorted(f.name for f in (tmp_path / "share/Trash/files").iterdir()) == ["x.mp3", "x_1.mp3"]
+    pairs = spark.createDataFrame([("/a", "/b", "EXACT_HASH", "EXACT_HASH", 100.0), ("/a", "/c", "NO_MATCH", "EXACT_HASH", 81.239)], "a string, b string, expected string, predicted string, confidence double")
+    evaluation.write_report(spark, pairs, str(tmp_path / "eval"))
+    doc = json.loads((tmp_path / "eval.json").read_text())
+    assert doc["accuracy"] == 0.5 and doc["classes"]["EXACT_HASH"]["tp"] == 1
+    assert {r.confidence for r in spark.read.option("header", True).csv(str(tmp_path / "eval_scores")).collect()} == {"100.00", "81.24"}
+
+
+def test_eligibility_edges(spark):
+    t = tracks(spark, {"duration": 4.9}, {"duration": 5.0, "is_lossless": True}, {"duration": 0.0}, {"duration": None})
+    got = {r.id: (r.wants_fingerprint, r.keeps_fingerprint, r.wants_spectrum) for r in files.eligibility(t).collect()}
+    assert got == {0: (False, False, False), 1: (True, True, True), 2: (True, False, False), 3: (True, False, False)}
+
+
+def test_legacy_fingerprints_and_partial_hash(spark):
+    df = spark.createDataFrame([([1, 2**32 - 1, 7],)], "f array<bigint>")
+    packed = df.select("f", kernels.pack_fingerprint("f").alias("b"))
+    assert packed.select(kernels.unpack_fingerprint("b").alias("f")).first().f == [1, 2**32 - 1, 7]
+    body = bytes(range(256)) * 1024
+    got = spark.createDataFrame([(bytearray(body),)], "c binary").select(kernels.partial_sha256("c").alias("h")).first().h
+    assert got == hashlib.sha256(len(body).to_bytes(8, "little") + body[:65536] + body[-65536:]).hexdigest()
+
+
+def test_texts(spark):
+    f = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [f(fc.total_text(F.lit(v))) for v in (5, 2048, 3 << 20, 5 << 30, 3 << 40)] == ["5 B", "2.0 KB", "3.0 MB", "5.00 GB", "3.00 TB"]
+    assert f(fc.plain_path(F.lit("M:\\\\a//b/"))) == "M:/a/b" and f(fc.plain_path(F.lit("/"))) == "/"
+    assert f(fc.first_tag(F.create_map(F.lit("TITLE"), F.lit(" x ")), "title", "TIT2")) == "x"

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from spindrift.plans import queries as core
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
@@ -24,10 +25,10 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(core.SQL))
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, DIR)
-    want = con.sql(entry.oracle_sql()[name])
+    want = con.sql(core.SQL[name])
     assert _rows([tuple(r) for r in df.collect()], df.columns) == _rows(want.fetchall(), want.columns)
 
 
