@@ -11,6 +11,7 @@ from collections.abc import Iterable, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_ROOTS: list[str] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Tables that results were still read from go with the application."""
+    context = SparkContext._active_spark_context
+    for root in _ROOTS:
+        try:
+            if context is not None:
+                p = context._jvm.org.apache.hadoop.fs.Path(root)
+                p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+            else:
+                shutil.rmtree(root.removeprefix("file:"), True)
+        except Exception:  # noqa: BLE001 - the cluster may be gone already
+            continue
+
+
 class Cuts:
     """Written tables that cut the lineage of iterative jobs.
 
@@ -45,6 +64,7 @@ class Cuts:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
         self._count = 0
         self._live: dict[str, DataFrame] = {}
 

@@ -72,8 +72,11 @@ def connected_components(links: DataFrame, a: str, b: str, *, hub_links: int = H
     labels = _propagate(spark, cuts, edges, max_rounds)
     labelled = labels if home is None else home.join(labels, "k").select(F.col("nid").alias("k"), "p")
     members = cuts.write(nodes.join(labelled, nodes.nid == labelled.k).select("node", "p"))
-    smallest = members.groupBy("p").agg(F.min("node").alias("label"))
-    return members.join(smallest, "p").select("node", "label")
+    # written, so that the join has a plain exchange on both sides and a giant component is split
+    smallest = cuts.write(members.groupBy("p").agg(F.min("node").alias("label")))
+    out = cuts.write(members.join(smallest, "p").select("node", "label"))
+    cuts.drop_others(out)
+    return out
 
 
 def _propagate(spark, cuts: Cuts, edges: DataFrame, max_rounds: int) -> DataFrame:

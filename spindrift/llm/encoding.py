@@ -217,7 +217,8 @@ def restore_values(rows: DataFrame, fields: Iterable[str]) -> DataFrame:
     """Restored forms of all distinct values of ``fields`` that were decoded with a wrong encoding.
 
     Result: value, restored, lost: ``restored`` has verified originals in place of the garbled tokens;
-    ``lost`` is true where some characters could not be given back (restored still holds U+FFFD there).
+    ``lost`` is true where some characters could not be given back for sure: restored still holds U+FFFD there, or
+    the most frequent of several words that fit. Chains garbled more than ``MAX_DEPTH`` times are not undone.
     A token is garbled if a clean word of the corpus gives it under a chain of encodings and is either
     clean where the token is not, or more frequent; or if undoing UTF-8 chains strictly gives a clean word (names
     that stand nowhere else); or if it holds U+FFFD. NULL, '' and pure ASCII values are never garbled. Only U+0020
@@ -239,13 +240,18 @@ def restore_values(rows: DataFrame, fields: Iterable[str]) -> DataFrame:
     best = matched.groupBy("token").agg(
         F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("undone").alias("undone"),
         F.min_by(F.when(trusted, F.col("original")), F.when(trusted, F.struct(-F.col("n_original"), "depth", "original"))).alias("original"),
+        # characters are lost and several words fit: the most frequent is a guess
+        (F.min(F.when(trusted, F.col("original"))) < F.max(F.when(trusted, F.col("original")))).alias("several"),
     )
     fixes = best.withColumn("fix", F.coalesce("original", "undone", F.when(F.col("token").contains(LOST), F.col("token")))).filter("fix IS NOT NULL")
     pieces = values.select("value", F.posexplode(F.regexp_extract_all("value", F.lit(f"[^{SEPARATORS}]+|[{SEPARATORS}]+"), F.lit(0))).alias("pos", "token"))
-    hit = pieces.join(cuts.write(fixes.select("token", "fix")), "token").groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("pos", "fix"))).alias("at"))
+    hit = pieces.join(cuts.write(fixes.select("token", "fix", (F.col("token").contains(LOST) & F.coalesce("several", F.lit(False))).alias("guess"))), "token")
+    hit = hit.groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("pos", "fix"))).alias("at"), F.bool_or("guess").alias("guess"))
     whole = F.regexp_extract_all("value", F.lit(f"[^{SEPARATORS}]+|[{SEPARATORS}]+"), F.lit(0))
     restored = F.array_join(F.transform(whole, lambda x, i: F.coalesce(F.element_at("at", i), x)), "")
-    return cuts.write(hit.select("value", restored.alias("restored")).withColumn("lost", F.col("restored").contains(LOST)))
+    out = cuts.write(hit.select("value", restored.alias("restored"), "guess").withColumn("lost", F.col("guess") | F.col("restored").contains(LOST)).drop("guess"))
+    cuts.drop_others(out)
+    return out
 
 
 def garbled_cells(rows: DataFrame, id_col: str, fields: Iterable[str]) -> DataFrame:

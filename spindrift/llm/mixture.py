@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+import warnings
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -19,7 +20,8 @@ TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The pre-tokenisation pattern that goes with the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_TOKENS = 2_000
+#: Tokens of a block at most; a small mix takes smaller ones, so that its smallest source still has ``LEAST_BLOCKS`` of them.
+BLOCK_TOKENS, LEAST_BLOCKS = 2_000, 200
 SHARD_TOKENS = 50_000_000
 #: Longer texts are cut here before encoding at white space, as the encoder's time grows faster than the text.
 PIECE_CHARS = 100_000
@@ -82,13 +84,14 @@ def sainte_lague(weights: Mapping, seats: int, caps: Mapping | None = None) -> d
     return {k: got.get(k, 0) for k in weights}
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, total_tokens: int | None = None, seed: int = 42, tokenizers: str = TOKENIZERS) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int | None = None, shard_tokens: int = SHARD_TOKENS, total_tokens: int | None = None, seed: int = 42, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Draw a mix in which each source has its target share of the tokens.
 
     Every source is cut into shards by a seeded hash and every shard, in seeded order, into blocks of
-    ``block_tokens`` tokens (a document belongs to the block where it begins). Sainte-Lague quotas give each
+    ``block_tokens`` tokens (by default 2,000, or less for a small mix; a document belongs to the block where it begins). Sainte-Lague quotas give each
     source its number of blocks, and each shard of a source its part of them; they are filled with whole blocks by their
-    real tokens, up to half a block (or half a longer document) from the quota; a quota above the tokens there are takes whole passes first. ``total_tokens`` defaults to the most that all shares and repeat caps permit.
+    real tokens, up to half a block (or half a longer document) from the quota; a quota above the tokens there are takes whole passes first. ``total_tokens`` defaults to the most that all shares and repeat caps permit; a higher wish is
+    lowered to that with a warning.
     Only one number per shard reaches the driver: a shard holds ``shard_tokens`` tokens, so 100 TB of text give under a million.
 
     NULL and empty texts, sources without a target or of a share or a cap of 0 or NULL are not drawn; target shares are
@@ -107,7 +110,10 @@ def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_T
         return documents.sparkSession.createDataFrame([], schema)
     whole = sum(shares.values())
     most = min(sizes[s] * goals[s][1] * whole / shares[s] for s in shares)
+    if total_tokens and total_tokens > most:
+        warnings.warn(f"{total_tokens} tokens asked for; shares and repeat caps permit {int(most)}", stacklevel=2)
     total = min(total_tokens, most) if total_tokens else most
+    block_tokens = block_tokens or max(1, min(BLOCK_TOKENS, int(total * min(shares.values()) / whole / LEAST_BLOCKS)))
     n_shards = {s: max(1, round(sizes[s] / shard_tokens)) for s in sizes}
     pairs = [F.lit(x) for s, n in n_shards.items() for x in (s, n)]
     order = F.xxhash64("doc_id", F.lit(seed))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -22,8 +23,15 @@ WIDE_SIGNS, PLAIN_SIGNS = "￠￡￢￥￦￨￩￪￫￬￭￮｟｠", "¢£¬
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 NUMERALS = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "L", "C", "D", "M")
 SIGNS = LIGATURES | {chr(0x2160 + i): n for i, n in enumerate(NUMERALS)} | {chr(0x2170 + i): n.lower() for i, n in enumerate(NUMERALS)}
+#: Further half-width forms and ligature signs, by their ranges, with the letters of their compatibility form: half-width Hangul, Latin digraph
+#: signs, Armenian, Hebrew and Arabic ligatures and the shapes of Arabic letters.
+LIGATURE_RANGES = ((0xFFA1, 0xFFDC), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0xFB13, 0xFB17), (0xFB1D, 0xFB4F), (0xFB50, 0xFDFB), (0xFE70, 0xFEFC))
+OTHER_SIGNS = {c: k for lo, hi in LIGATURE_RANGES for c in map(chr, range(lo, hi + 1)) if (k := unicodedata.normalize("NFKC", c)) != c}
 # Characters without width, and spaces other than U+0020, as classes of RE2.
-INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{FFF9}-\x{FFFB}]"
+INVISIBLE = (
+    r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}"
+    r"\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]"
+)
 SPACES = r"[\x{0009}-\x{000D}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # Letters of other alphabets that look like the Latin letter below them.
 ALIKE_OTHER = "АВЕЅІЈКМНОРСТХУҮавеѕіјкмнорстхуԁԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧαεικνορτυχϲᴦՕՏՍօոսցհզάίόΆΈΌΊёЁїЇ"
@@ -60,6 +68,11 @@ def plain_sql(column: str) -> str:
     expr = f"translate({column}, {_quoted(FULL_WIDTH + HALF_KANA + WIDE_SIGNS)}, {_quoted(HALF_ASCII + FULL_KANA + PLAIN_SIGNS)})"
     for sign, letters in SIGNS.items():
         expr = f"replace({expr}, {_quoted(sign)}, {_quoted(letters)})"
+    # looked up character by character, where there are any
+    others = "[" + "".join(f"\\x{{{lo:04X}}}-\\x{{{hi:04X}}}" for lo, hi in LIGATURE_RANGES) + "]"
+    table = "MAP {" + ", ".join(f"{_quoted(c)}: {_quoted(k)}" for c, k in OTHER_SIGNS.items()) + "}"
+    looked_up = f"array_to_string(list_transform(string_split({column}, ''), lambda c: coalesce({table}[c], c)), '')"
+    expr = expr.replace(f"translate({column},", f"translate(CASE WHEN regexp_matches({column}, {_quoted(others)}) THEN {looked_up} ELSE {column} END,", 1)
     expr = f"regexp_replace({expr}, {_quoted(INVISIBLE)}, '', 'g')"
     expr = f"regexp_replace({expr}, {_quoted(SPACES)}, ' ', 'g')"
     expr = f"nfc_normalize({expr})"

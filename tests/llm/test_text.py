@@ -173,3 +173,32 @@ def test_mix_of_documents_longer_than_a_block(spark):
     T = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 1)], "source string, target_share double, max_repeats int")
     for r in mixture.shares(mixture.mix(D, T, block_tokens=200, shard_tokens=100_000), T).collect():
         assert abs(r.actual_share - r.target_share) < 0.02 and r.most_copies <= r.max_repeats
+
+
+def test_further_forms_are_plain(spark):
+    cases = {"ﾡￂ": "가", "Ĳssel ĳ": "IJssel ij", "ﬓﬗ": "մնմխ", "ﷺ x": "صلى الله عليه وسلم x", "aᅟb": "ab", "aㅤb": "ab", "☆️": "☆", "a\U000e0041b": "ab", "ǆ": "dž", "ﻻ": "لا"}
+    stay = ["œuvre æ", "½ № ™ ª", "“x” – y", "한글", "שלום"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*cases, *stay])], "id bigint, t string")
+    got = {r.value: r.plain for r in plain_form.plain_forms(df, "id", ["t"]).collect()}
+    assert got == cases | {t: t for t in stay}
+
+
+def test_a_guess_counts_as_lost(spark):
+    words = ["Größe", "Grüße", "Müller"]
+    garbled = "Größe".encode("utf-8").decode("cp1252")
+    half = garbled[:2] + "�" * 2 + garbled[4:]
+    rows = [(w,) for w in words for _ in range(5)] + [(garbled,), ("Müller".encode().decode("cp1252"),), (half,)]
+    got = {r.value: (r.restored, r.lost) for r in encoding.restore_values(spark.createDataFrame(rows, "t string"), ["t"]).collect()}
+    assert got[garbled] == ("Größe", False) and got["Müller".encode().decode("cp1252")] == ("Müller", False)
+    assert got[half][1]
+
+
+def test_a_small_mix_meets_its_targets(spark):
+    rng = random.Random(3)
+    docs = [(i, rng.choice("aaaabbc"), "alpha beta gamma delta " * rng.randrange(10, 60)) for i in range(600)]
+    D = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    T = spark.createDataFrame([("a", 0.5, 2), ("b", 0.42, 3), ("c", 0.08, 3)], "source string, target_share double, max_repeats int")
+    for r in mixture.shares(mixture.mix(D, T), T).collect():
+        assert abs(r.actual_share - r.target_share) < 0.01
+    with pytest.warns(UserWarning, match="permit"):
+        mixture.mix(D, T, total_tokens=10**9)
