@@ -93,9 +93,10 @@ class Cuts:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Split a scan that came in fewer partitions than there are cores, for a stage of Python work."""
+    """Spread rows over all cores before a stage of heavy work: a scan that came in fewer partitions, or an aggregate, which may have been coalesced to one."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want, *keys) if df.rdd.getNumPartitions() < want else df
+    scan = "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    return df if scan and df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
 
 
 def word_codes(words: Sequence[str]) -> np.ndarray:
