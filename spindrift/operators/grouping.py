@@ -7,26 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import display_title, filename, holds
+from ..tables import ensure_checkpoints
 
 SEVERITY = ("EXACT_HASH", "EXACT_AUDIO", "ACOUSTIC_DUPLICATE", "POSSIBLE_DUPLICATE", "LOW_CONFIDENCE_REVIEW")
 REVIEWED = ("POSSIBLE_DUPLICATE", "LOW_CONFIDENCE_REVIEW")
 
 
-def ensure_checkpoints(spark) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; only a local master without one gets a temporary folder."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="spindrift-")
-    sc.setCheckpointDir(named)
-
-
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:
     """node, label: the smallest node each node reaches. Minimum labels along edges, then a jump to the label's own label, checkpointed per round."""
     ensure_checkpoints(edges.sparkSession)

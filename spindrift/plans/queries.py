@@ -9,6 +9,7 @@ from ..functions import columns as fc
 from ..operators import cache, evaluation, grouping, journal, library, matching
 from ..schema import latest, with_load_defaults
 from ..streaming import incremental
+from ..tables import written
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -103,15 +104,14 @@ def candidate_coverage(s, d):
 
 
 def pair_evidence(s, d):
-    t = _library(s, d)
+    t = written(_library(s, d))
     pairs = matching.candidate_pairs(matching.tokens(t))
     return matching.evidence(pairs, t).withColumn("reasons", F.array_join("reasons", ","))
 
 
 def pipeline(s, d) -> tuple[DataFrame, DataFrame]:
     """Candidates outside exact groups, evidence, components, groups and ranked members of the whole library."""
-    t = _library(s, d)
-    grouping.ensure_checkpoints(s)
+    t = written(_library(s, d))
     link = lambda df, kind: df.select("id_a", "id_b", F.lit(kind).alias("classification"), F.lit(100.0).alias("confidence"), F.lit(False).alias("requires_manual_review"))
     exact = link(matching.exact_links(t, "sha256"), "EXACT_HASH").unionByName(link(matching.near_links(t, "audio_hash"), "EXACT_AUDIO")).checkpoint()
     label = grouping.components(exact, "id_a", "id_b")
