@@ -343,7 +343,7 @@ def _own_words(cuts: Cuts, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def link_spellings(spellings: DataFrame, *, cosine: float = COSINE, link: float = LINK, local_names: int = LOCAL_NAMES, top_n: int | None = None) -> DataFrame:
     """Entity of every spelling: field, name, n, entity (a number that all spellings of one entity share).
 
-    ``spellings``: field, name, n (rows that hold the name). NULL and '' are no names; repeated rows add up. Spellings
+    ``spellings``: field, name, n (rows that hold the name). NULL and '' are no names, rows of no field are left out; repeated rows add up. Spellings
     equal but for case, accents, punctuation and word order are one node. Nodes are joined by the cosine of their weighted n-gram
     vectors; a pair that reaches ``cosine`` is a link unless a veto on its words holds: different numbers, more than ``MOST_EDITS`` typing
     errors, or words that stand on one side only and are no known alternates. Average linkage of the cosines, weighted by rows and 0
@@ -353,7 +353,7 @@ def link_spellings(spellings: DataFrame, *, cosine: float = COSINE, link: float
     """
     spark = spellings.sparkSession
     cuts = Cuts(spark)
-    clean = spellings.filter("name IS NOT NULL AND name <> ''").groupBy("field", "name").agg(F.sum("n").cast("long").alias("n"))
+    clean = spellings.filter("field IS NOT NULL AND name <> ''").groupBy("field", "name").agg(F.sum("n").cast("long").alias("n"))
     named = cuts.write(spread(clean).mapInArrow(_nodes, "field string, name string, n long, key string, tokens array<string>"))
     grouped = named.groupBy("field", "key").agg(F.sum("n").cast("double").alias("w"), F.max_by("tokens", F.struct("n", "name")).alias("tokens"))
     nodes = cuts.write(grouped.withColumn("node", F.xxhash64("field", "key")))
