@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import display_title, filename, holds
-from ..tables import ensure_checkpoints
+from ..tables import HOT, ensure_checkpoints, rank_within
 
 SEVERITY = ("EXACT_HASH", "EXACT_AUDIO", "ACOUSTIC_DUPLICATE", "POSSIBLE_DUPLICATE", "LOW_CONFIDENCE_REVIEW")
 REVIEWED = ("POSSIBLE_DUPLICATE", "LOW_CONFIDENCE_REVIEW")
@@ -50,13 +50,13 @@ def _rank_keys() -> Column:
     return F.struct(F.coalesce("quality_score", F.lit(float("-inf"))), F.coalesce("bitrate", F.lit(-1)), F.coalesce("filesize", F.lit(-1)))
 
 
-def groups(edges: DataFrame, tracks: DataFrame, a: str = "id_a", b: str = "id_b", key: str = "id") -> tuple[DataFrame, DataFrame]:
+def groups(edges: DataFrame, tracks: DataFrame, a: str = "id_a", b: str = "id_b", key: str = "id", *, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(groups, members) of the linking edges.
 
     edges: the two ends, classification, confidence, requires_manual_review. tracks: one row per ``key``.
     groups: label, members, primary_type (the weakest edge), requires_manual_review, best_track_path, average_similarity (the
     highest confidence, as in the original), space_saving_bytes. members: label, key, filepath, rank, action.
-    A member without a row in tracks is left out; a group needs two members.
+    A member without a row in tracks is left out; a group needs two members. Groups of more than ``hot`` members are ranked in several tasks.
     """
     links = edges.filter(F.col("classification").isin(*SEVERITY))
     label = components(links, a, b)
@@ -66,8 +66,7 @@ def groups(edges: DataFrame, tracks: DataFrame, a: str = "id_a", b: str = "id_b"
         F.max(severity("classification")).alias("worst"), F.bool_or(F.col("requires_manual_review") | F.col("classification").isin(*REVIEWED)).alias("requires_manual_review"), F.max("confidence").alias("average_similarity")
     )
     typed = typed.join(sizes, "label").withColumn("primary_type", F.element_at(F.array(*map(F.lit, SEVERITY)), F.col("worst") + 1)).drop("worst")
-    order = Window.partitionBy("label").orderBy(*best_order())
-    members = listed.join(typed.select("label", "requires_manual_review"), "label").withColumn("rank", F.row_number().over(order))
+    members = rank_within(listed.join(typed.select("label", "requires_manual_review"), "label"), "label", best_order(), hot, label)
     members = members.withColumn("action", F.when(F.col("requires_manual_review"), "UNSET").when(F.col("rank") == 1, "KEEP").otherwise("DELETE"))
     totals = members.groupBy("label").agg(
         F.max(F.when(F.col("rank") == 1, F.col("filepath"))).alias("best_track_path"), F.max(F.when(F.col("rank") == 1, F.col("quality_score"))).alias("best_score"),

@@ -263,6 +263,24 @@ def test_group_numbers_are_dense_across_partitions(spark):
     assert got == want
 
 
+def test_large_groups_are_ranked_in_parts(spark):
+    rng = random.Random(6)
+    t = tracks(spark, *[{"quality_score": rng.choice([None, 1.0, 50.0]), "bitrate": rng.choice([128, 320]), "filesize": rng.randrange(5)} for _ in range(120)])
+    links = [(0, i) for i in range(1, 90)] + [(90, i) for i in range(91, 94)]
+    e = spark.createDataFrame([(a, b, "EXACT_HASH", 100.0, False) for a, b in links], "id_a bigint, id_b bigint, classification string, confidence double, requires_manual_review boolean")
+    plain, split = ({(r.label, r.id): (r["rank"], r.action) for r in grouping.groups(e, t, hot=h)[1].collect()} for h in (1000, 10))
+    assert plain == split and len(plain) == 94
+    assert sorted(k for (lab, _), (k, _) in split.items() if lab == 0) == list(range(1, 91))
+
+
+def test_coverage_report(spark):
+    c = matching.coverage(spark.createDataFrame([(t, i) for t in (1, 2) for i in range(3)], "token bigint, id bigint"), 2)
+    r = matching.coverage_report(c).first()
+    assert r.is_approximate and not r.is_complete and r.scan_status == "SUCCESS"
+    r = matching.coverage_report(matching.coverage(spark.createDataFrame([(1, 1)], "token bigint, id bigint")), cancelled=True).first()
+    assert r.is_complete and r.scan_status == "CANCELLED"
+
+
 def _wav(path, values, width=2, rate=8000, channels=1):
     with wave.open(str(path), "wb") as w:
         w.setnchannels(channels), w.setsampwidth(width), w.setframerate(rate)
