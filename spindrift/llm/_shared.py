@@ -51,7 +51,7 @@ def _clear() -> None:
             else:
                 shutil.rmtree(root.removeprefix("file:"), True)
         except Exception:  # noqa: BLE001 - the cluster may be gone already
-            continue
+            return
 
 
 class Cuts:

@@ -11,16 +11,17 @@ from ._shared import Cuts
 HUB_LINKS = 50_000
 
 
-def _split_hubs(both: DataFrame, hub_links: int) -> DataFrame:
+def _split_hubs(cuts: Cuts, both: DataFrame, hub_links: int) -> DataFrame:
     """Bound the links of every node: hub h becomes h and virtual nodes (h, 1..k), linked to h.
 
     Components stay the same, and no later join or aggregate meets a key with more than
     ``hub_links`` rows. Nodes are structs (id, part); part is 0 except on virtual nodes.
     """
     degree = both.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") > hub_links)
-    parts = degree.select(F.col("u").alias("hub"), F.ceil(F.col("n") / hub_links).cast("long").alias("k"))
+    # written, so that the planner knows whether it is small enough to be broadcast
+    parts = cuts.write(degree.select(F.col("u").alias("hub"), F.ceil(F.col("n") / hub_links).cast("long").alias("k")))
     placed = (
-        both.join(F.broadcast(parts) if parts.limit(100_001).count() <= 100_000 else parts, both.u == parts.hub, "left")
+        both.join(parts, both.u == parts.hub, "left")
         .select("u", "v", F.when(F.col("k").isNotNull(), 1 + F.pmod(F.xxhash64("v"), "k")).otherwise(F.lit(0)).alias("pu"))
     )
     # each undirected link stands twice; both ends must agree on their parts, so join the two views
@@ -60,7 +61,7 @@ def connected_components(links: DataFrame, a: str, b: str, *, hub_links: int = H
     numbered = cuts.write(numbered)
     both = numbered.unionByName(numbered.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if both.groupBy("u").count().filter(F.col("count") > hub_links).limit(1).count():
-        split = cuts.write(_split_hubs(both, hub_links))
+        split = cuts.write(_split_hubs(cuts, both, hub_links))
         key = F.struct("id", "part")
         named = cuts.write(split.select(F.explode(F.array("x", "y")).alias("s")).distinct().select("s.id", "s.part").withColumn("n", F.monotonically_increasing_id()))
         left, right = named.select(key.alias("x"), F.col("n").alias("u")), named.select(key.alias("y"), F.col("n").alias("v"))
