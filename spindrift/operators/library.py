@@ -95,6 +95,14 @@ def quality_score() -> Column:
     return F.least(F.lit(100.0), F.greatest(F.lit(5.0), container + stream + depth + sampling))
 
 
+def cutoff_and_confidence() -> Column:
+    """struct(cutoff_hz, confidence) as older callers expect it: the found cutoff, or 16 kHz, of a suspected transcode; half the sample rate of a clean one; else 0."""
+    a, hz = F.col("spectral_assessment"), F.coalesce(F.col("samplerate"), F.lit(0)) / 2.0
+    found = F.coalesce(F.nullif("spectral_cutoff", F.lit(0.0)), F.lit(16000.0))
+    pair = lambda x, y: F.struct(x.cast("double").alias("cutoff_hz"), y.cast("double").alias("confidence"))
+    return F.when(a == "suspected_transcode", pair(found, _conf())).when(a == "no_lossy_evidence", pair(hz, F.lit(0))).otherwise(pair(F.lit(0), F.lit(0)))
+
+
 def quality_details() -> Column:
     lossless = F.coalesce("is_lossless", F.lit(False))
     return F.array_join(F.array_compact(F.array(

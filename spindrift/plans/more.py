@@ -301,3 +301,25 @@ SELECT coalesce(sum(least(n, 500) * (least(n, 500) - 1) // 2), 0)::BIGINT AS pai
 def candidate_coverage_500(s, d):
     """What the cap that the pipeline uses leaves out."""
     return matching.coverage(matching.tokens(_t(s, d, "tracks")))
+
+
+@query(f"""SELECT id, CASE spectral_assessment WHEN 'suspected_transcode' THEN coalesce(nullif(spectral_cutoff, 0), 16000) WHEN 'no_lossy_evidence' THEN coalesce(samplerate, 0) / 2 ELSE 0 END::DOUBLE AS cutoff_hz,
+CASE WHEN spectral_assessment = 'suspected_transcode' THEN {sql.CONF} ELSE 0 END::DOUBLE AS confidence FROM tracks""")
+def cutoff_and_confidence(s, d):
+    return _t(s, d, "tracks").select("id", library.cutoff_and_confidence().alias("c")).select("id", "c.cutoff_hz", "c.confidence")
+
+
+@query("""WITH m AS (SELECT event_id, user_id, avg(round(value * 100)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS speed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS done, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+e AS (SELECT event_id AS event, speed, CASE WHEN speed > 0 THEN trunc((n - done) * 3600 / speed)::BIGINT ELSE 0 END AS eta FROM m)
+SELECT event, speed, CASE WHEN eta < 60 THEN printf('~%ds', eta) WHEN eta < 3600 THEN printf('~%dm', eta // 60) ELSE printf('~%dh %dm', eta // 3600, eta % 3600 // 60) END AS eta_text FROM e""")
+def event_eta(s, d):
+    """Average of the last 15 values as the hourly speed of a scan, and the time that the user's remaining events would take."""
+    from pyspark.sql.window import Window
+
+    from ..streaming import incremental
+
+    own = Window.partitionBy("user_id")
+    e = _t(s, d, "events").select("user_id", "ts", "event_id", F.round(F.col("value") * 100).alias("value"), F.row_number().over(own.orderBy("ts", "event_id")).alias("done"), F.count("*").over(own).alias("n"))
+    m = incremental.moving_speed(e.withColumnsRenamed({"user_id": "series", "event_id": "event"}), last=15)
+    left = F.when(F.col("average") > 0, ((F.col("n") - F.col("done")) * 3600 / F.col("average")).cast("bigint")).otherwise(F.lit(0))
+    return m.select("event", F.col("average").alias("speed"), fc.eta_text(left).alias("eta_text"))

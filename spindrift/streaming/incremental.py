@@ -51,6 +51,15 @@ def compact(spark: SparkSession, base: DataFrame, root: str, batches: int, versi
     return cache.write_version(current(spark, base, root, batches), root, version)
 
 
+def batches_done(query) -> list[dict]:
+    """What a stream has done so far: batch, rows, seconds and rows per second of each recent micro-batch. It is paused by ``query.stop()`` and goes on from its checkpoint."""
+    out = []
+    for p in query.recentProgress:
+        seconds = p["durationMs"].get("triggerExecution", 0) / 1000.0
+        out.append({"batch": p["batchId"], "rows": p["numInputRows"], "seconds": seconds, "rows_per_second": p["numInputRows"] / seconds if seconds else 0.0})
+    return out
+
+
 def moving_speed(samples: DataFrame, last: int = 10) -> DataFrame:
     """Average of the last samples per series: series, ts, value."""
     from pyspark.sql.window import Window

@@ -371,6 +371,8 @@ def test_bounded_batches(spark, tmp_path):
     q = incremental.watch(spark, str(tmp_path), max_files=2).writeStream.foreachBatch(lambda b, n: seen.append(b.count())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(seen) == 5 and max(seen) <= 2
+    done = incremental.batches_done(q)
+    assert [b["batch"] for b in done if b["rows"]] == [0, 1, 2] and all(b["rows_per_second"] > 0 for b in done if b["rows"])
 
 
 def test_trash_and_report(spark, tmp_path, monkeypatch):
@@ -388,6 +390,17 @@ def test_trash_and_report(spark, tmp_path, monkeypatch):
     assert {r.confidence for r in spark.read.option("header", True).csv(str(tmp_path / "eval_scores")).collect()} == {"100.00", "81.24"}
 
 
+def test_manifest_and_csv(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("track_a_path,track_b_path,expected_category,note\\n/a,/b,EXACT_HASH,x\\n , /c,NO_MATCH,\\n/d,/e,NO_MATCH,\\n".replace("\\n", "\n"))
+    assert [r.track_a_path for r in files.read_manifest(spark, str(tmp_path / "m.csv")).collect()] == ["/a", "/d"]
+    assert files.read_manifest(spark, str(tmp_path / "m.csv"), limit=1).count() == 1
+    g = spark.createDataFrame([("g", "EXACT_HASH", "/m/0.mp3", "best", False)], "group_id string, primary_type string, best_track_path string, best_track_reason string, requires_manual_review boolean")
+    m = spark.createDataFrame([("g", "/m/0.mp3"), ("g", "/m/1.mp3"), ("g", "/none")], "group_id string, filepath string")
+    files.write_csv(files.report_rows(g, m, tracks(spark, {}, {})), str(tmp_path / "report"), one_file=True)
+    got = spark.read.option("header", True).csv(str(tmp_path / "report"))
+    assert tuple(got.columns) == files.REPORT_HEADER and {(r["Ruta Archivo"], r["Acción Recomendada"]) for r in got.collect()} == {("/m/0.mp3", "CONSERVAR"), ("/m/1.mp3", "ELIMINAR")}
+
+
 def test_eligibility_edges(spark):
     t = tracks(spark, {"duration": 4.9}, {"duration": 5.0, "is_lossless": True}, {"duration": 0.0}, {"duration": None})
     got = {r.id: (r.wants_fingerprint, r.keeps_fingerprint, r.wants_spectrum) for r in files.eligibility(t).collect()}
