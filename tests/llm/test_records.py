@@ -236,3 +236,25 @@ def test_local_and_distributed_linkage_agree(spark, tmp_path):
     one = edges.groupBy("label").applyInPandas(names._local(0.3), "node long, cluster long")
     other = names._rounds(spark, Cuts(spark), edges.drop("label"), 0.3)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_cosine_pairs_are_all_pairs_also_where_an_ngram_is_split(spark, monkeypatch):
+    """Products by hand; n-grams of more vectors than one group takes meet part by part, in several batches."""
+    rng = random.Random(3)
+    weight = {g: rng.choice((1.0, 4.0, 9.0)) + rng.random() for g in range(40)}
+    vectors = []
+    for i in range(260):
+        grams = sorted(rng.sample(range(40), rng.randrange(1, 9)), key=lambda g: -weight[g])
+        length = sum(weight[g] ** 2 for g in grams) ** 0.5 * rng.choice((1.0, 1.2))
+        vectors.append(("artist" if i % 3 else "album", i * 7 - 900, grams, [weight[g] / length for g in grams]))
+    v = spark.createDataFrame(vectors, "field string, node long, grams array<int>, ws array<float>").repartition(3)
+    flat = {(f, n): dict(zip(g, w)) for f, n, g, w in vectors}
+    dots = {(f, a, b): sum(w * y[g] for g, w in x.items() if g in y) for (f, a), x in flat.items() for (e, b), y in flat.items() if f == e and a < b}
+    assert not any(abs(c - 0.5) < 1e-5 for c in dots.values())
+    want = sorted(k for k, c in dots.items() if c >= 0.5)
+    assert len(want) > 400
+    for most in (20_000, 30, 7):
+        monkeypatch.setattr(names, "HOT_GRAM", most)
+        got = names.cosine_pairs(v, cosine=0.5).collect()
+        assert sorted((r.field, r.a, r.b) for r in got) == want
+        assert all(abs(r.cosine - dots[r.field, r.a, r.b]) < 1e-5 for r in got)
