@@ -202,3 +202,26 @@ def test_a_small_mix_meets_its_targets(spark):
         assert abs(r.actual_share - r.target_share) < 0.01
     with pytest.warns(UserWarning, match="permit"):
         mixture.mix(D, T, total_tokens=10**9)
+
+
+def test_labels_come_from_all_similar_documents(spark, monkeypatch):
+    """Every labelled document that is similar enough counts, also beyond the eighth, in one part or many."""
+    from spindrift.llm._shared import Cuts
+
+    rng = random.Random(2)
+    sets = {i: sorted(rng.sample(range(24), rng.randrange(1, 7))) for i in range(140)}
+    label = {i: {rng.choice((3, 7)): 1.0} for i in range(100)}
+    df = spark.createDataFrame(list(sets.items()), "doc_id long, features array<long>").repartition(3)
+    now = spark.createDataFrame([(i, a, w) for i, x in label.items() for a, w in x.items()], "doc_id long, subject_id int, weight double")
+    want, most = {}, 0
+    for i, x in sets.items():
+        near = {j: s for j in label if j != i and (s := len({*x} & {*sets[j]}) / len({*x} | {*sets[j]})) >= subjects.SIMILAR}
+        most = max(most, len(near))
+        for j, s in near.items():
+            for a, w in label[j].items():
+                want[i, a] = want.get((i, a), 0) + s * w
+    assert most > 40
+    for sent in (4_000_000, 50):
+        monkeypatch.setattr(subjects, "SENT_FEATURES", sent)
+        got = {(r.doc_id, r.subject_id): r.w for r in subjects._labels_near(df, df, now).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
