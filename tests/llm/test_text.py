@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -225,3 +226,85 @@ def test_labels_come_from_all_similar_documents(spark, monkeypatch):
         monkeypatch.setattr(subjects, "SENT_FEATURES", sent)
         got = {(r.doc_id, r.subject_id): r.w for r in subjects._labels_near(df, df, now).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def _phrase_sets(rng, docs, phrases, each, width=8):
+    """Sets of some whole phrases of ``width`` features each, and a few single features; every eleventh repeats the one before."""
+    out = {}
+    for i in range(docs):
+        f = {p * width + k for p in rng.sample(range(phrases), each) for k in range(width)} | {1000 + rng.randrange(60) for _ in range(3)}
+        out[i] = out[i - 1] if i % 11 == 10 else sorted(f)
+    return out
+
+
+def _run_labels_near(spark, sets, label, to):
+    """The rows of ``_labels_near`` in this process, and its seconds in them."""
+    import pyarrow as pa
+
+    class Here:
+        runs = ()
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            here = Here()
+            here.runs = (run,)
+            return here
+
+        def unionByName(self, other):  # noqa: N802
+            self.runs += other.runs
+            return self
+
+        def groupBy(self, *_):  # noqa: N802
+            return self
+
+        def agg(self, *_):
+            return self
+
+    df = spark.createDataFrame(list(sets.items()), "doc_id long, features array<long>")
+    now = spark.createDataFrame([(i, a, w) for i, x in label.items() for a, w in x.items()], "doc_id long, subject_id int, weight double")
+    runs = subjects._labels_near(df, Here(), now).runs
+    batch = pa.record_batch([pa.array(list(to)), pa.array([sets[i] for i in to], pa.list_(pa.int64()))], names=["doc_id", "features"])
+    start, got = time.perf_counter(), {}
+    for run in runs:
+        for rows in run(iter([batch])):
+            for d, a, w in zip(*(c.to_pylist() for c in rows.columns)):
+                got[d, a] = got.get((d, a), 0) + w
+    return got, time.perf_counter() - start
+
+
+def test_sets_are_compared_whole_in_tiles_and_halves(spark, monkeypatch):
+    rng = random.Random(4)
+    sets = _phrase_sets(rng, 260, 12, 3) | {300: [5], 301: [5], 302: [99_999], 303: list(range(400))}
+    label = {i: {rng.choice((3, 7, 9)): 0.3 + rng.random()} for i in sets if i % 3 != 1}
+    want = {}
+    for i, x in sets.items():
+        for j in label:
+            both = len({*x} & {*sets[j]})
+            if j != i and both / (len(x) + len(sets[j]) - both) >= subjects.SIMILAR:
+                for a, w in label[j].items():
+                    want[i, a] = want.get((i, a), 0) + both / (len(x) + len(sets[j]) - both) * w
+    for tile, together, rows, sent in ((2048, 64, 32_768, 4_000_000), (16, 4, 32_768, 4_000_000), (16, 4, 60, 4_000_000), (2048, 64, 32_768, 900)):
+        for name, value in (("TILE", tile), ("TOGETHER", together), ("TABLE_ROWS", rows), ("SENT_FEATURES", sent)):
+            monkeypatch.setattr(subjects, name, value, raising=False)
+        got, _ = _run_labels_near(spark, sets, label, list(sets))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_comparing_sets_costs_less_than_one_by_one(spark):
+    """Against looking up each feature of each document, the seconds on sets of phrases fall by a third at least (before, they rose by a fifth)."""
+    rng = random.Random(6)
+    sets = _phrase_sets(rng, 12_000, 60, 6)
+    label = {i: {i % 11: 1.0} for i in sets}
+    to = list(range(0, 12_000, 10))
+    number, size = np.concatenate([sets[i] for i in sets]), np.array([len(x) for x in sets.values()])
+    order, starts = np.argsort(number, kind="stable"), np.append(0, np.cumsum(np.bincount(number)))
+    holders, labels, plain = np.repeat(np.arange(len(sets)), size)[order], np.eye(11)[np.arange(len(sets)) % 11], {}
+    start = time.perf_counter()
+    for d in to:
+        common = np.bincount(np.concatenate([holders[starts[f] : starts[f + 1]] for f in sets[d]]), minlength=len(sets))
+        alike = common / (size + size[d] - common)
+        near = np.flatnonzero((alike >= subjects.SIMILAR) & (np.arange(len(sets)) != d))
+        plain |= {(d, a): w for a, w in enumerate(alike[near] @ labels[near]) if w}
+    seconds = time.perf_counter() - start
+    got, spent = min((_run_labels_near(spark, sets, label, to) for _ in range(2)), key=lambda r: r[1])
+    assert got.keys() == plain.keys() and all(abs(got[k] - plain[k]) < 1e-9 for k in plain)
+    assert spent < 0.7 * seconds, (spent, seconds)
